@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, tokencount
+from tessera.llm import bpe, langid, quality, tokencount, toxicity
+from tessera.llm.runtime import fold
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +25,32 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    ranker = quality.fit(docs, read(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    scored = quality.score(docs, ranker)
+    return scored.select("doc_id", (F.coalesce(fold("doc_id", 5), F.lit(0)) == 0).alias("held_out"), "score", "predicted")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    predicted = langid.predict(docs, langid.fit(docs, fold("doc_id", 4) != 2))
+    return predicted.select("doc_id", (F.coalesce(fold("doc_id", 4), F.lit(2)) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (F.coalesce(fold("doc_id", 4), F.lit(2)) == 2).alias("held_out"), "score", "predicted")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op10_token_counts)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op6_language, op7_toxicity, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
