@@ -56,11 +56,11 @@ def feature_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 class Fit:
     max_positive: int = 2500  #: positives that the fit sees at most, about
     max_unlabelled: int = 5000  #: unlabelled documents, about
-    kept: int = 1500
-    lift: float = 3.0  #: how many times as frequent among positives a feature must be
+    kept: int = 600
+    lift: float = 4.0  #: how many times as frequent among positives a feature must be
     rounds: int = 400
     rate: float = 0.05
-    shrink: float = 1e-3
+    shrink: float = 3e-3
     max_terms: int = 2500  #: features of one sampled document that are sent to the fit
 
 
