@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, quality, tokencount, toxicity
+from tessera.llm import bpe, langid, minmax, quality, tokencount, toxicity
 from tessera.llm.runtime import fold
 
 
@@ -45,12 +45,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.coalesce(fold("doc_id", 4), F.lit(2)) == 2).alias("held_out"), "score", "predicted")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(read(spark, sf_dir, "documents"), minmax.CONTRACT)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op6_language, op7_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op6_language, op7_toxicity, op8_near_duplicates, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
