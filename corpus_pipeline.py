@@ -1,19 +1,68 @@
-"""The corpus pipeline: from raw documents to encoded training text."""
+"""The corpus pipeline: from raw documents to encoded training text.
+
+Every stage takes the documents that its predecessor kept, with all columns of
+``documents``; the last one encodes them.  A text that a stage changes gets
+its ``n_chars`` anew.  Rows with a null doc_id are never dropped by the stages
+that drop by id.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, decontam, linededup, minmax, quality
+from tessera.llm.queries import read, tokenizer_path
+from tessera.llm.runtime import drop_ids, fold, materialize
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns as in op2."""
+    return quality.keep_good(docs, quality.fit(docs, read(spark, sf_dir, "labels"), fold("doc_id", 5) != 0))
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the blocks of lines that an earlier document holds; a document that nothing is left of goes."""
+    cut = linededup.dedup_lines(docs, added="__removed")
+    emptied = (F.col("__removed") > 0) & (F.length(F.trim(F.regexp_replace("text", r"[\t\n\x0B\f\r]", " "))) == 0)
+    left = cut.filter(~emptied)
+    return left.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    found = materialize(minmax.near_duplicates(docs, minmax.Params()).filter("not kept").select("doc_id"), "pipeline-duplicates")
+    return drop_ids(docs, found, "doc_id")
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap no benchmark item."""
+    return decontam.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and digests of the ids and of the text they decode to."""
+    return bpe.round_trip(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=True)
+
 
 #: (name, stage); a stage takes (spark, docs, sf_dir).
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", good_quality),
+    ("line_dedup", without_repeated_lines),
+    ("near_dedup", one_of_each_group),
+    ("decontamination", without_benchmark),
+    ("bpe", encoded),
+]
 
+#: Learned scores and hashed bands have no SQL: the stages are tested one by one instead.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """The stages over ``documents``, each one's result written and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

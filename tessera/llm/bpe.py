@@ -352,16 +352,17 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_
     return map_arrow(kept, run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): encode, decode, and digests of both."""
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256): encode, decode, and digests of both; with_ids: the ids too."""
 
     def run(batches):
         codec = load(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts, ids_sha, text_sha = [], [], []
             for i, j in _text_groups(texts):
-                for packed in codec.encode_packed(texts[i:j]):
+                every = codec.encode_packed(texts[i:j])
+                counts, ids_sha, text_sha = [], [], []
+                for packed in every:
                     raw = codec.decode_bytes(packed)
                     try:
                         raw.decode()
@@ -370,7 +371,12 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     counts.append(len(packed) // 4)
                     ids_sha.append(hashlib.sha256(packed).hexdigest())
                     text_sha.append(hashlib.sha256(raw).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = [batch.column(0).slice(i, j - i), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                if with_ids:
+                    ends = np.concatenate([[0], np.cumsum(counts)])
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(every), "<u4").astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     kept = docs.select(id_col, text_col)
-    return map_arrow(kept, run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 5 if with_ids else 4]
+    return map_arrow(kept, run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

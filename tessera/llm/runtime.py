@@ -51,6 +51,12 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
+def drop_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not in ``ids`` (one column of that name); a null key is never dropped."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, key, "left_anti")
+
+
 #: Bytes of one Arrow batch handed to Python: long documents must not add up in a worker.
 ARROW_BATCH_BYTES = 16 << 20
 
