@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import box_queries, volume_queries  # noqa: F401
+from tessera.plans import box_queries, mesh_queries, volume_queries  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

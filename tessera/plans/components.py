@@ -21,26 +21,36 @@ def _settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def _summary(edges: DataFrame):
+    return edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b); component is the smallest node reachable.
 
-    Every round gives each node the smallest label among itself and its
-    neighbours, and then that label's own label, so that chains shorten as
-    they are walked.  It ends when no label changes.  An edge with a null end
-    is ignored.
+    Large-star and small-star in turn: each node hands its larger neighbours
+    to its smallest one, then its smaller neighbours.  The edges become stars
+    around the smallest nodes in about log(n) rounds, whatever the graph's
+    diameter, and never grow in number.  It ends when a round changes no edge,
+    and raises after ``max_rounds``.  An edge with a null end is ignored.
     """
     real = edges.filter("a is not null and b is not null")
-    both = real.select("a", "b").unionByName(real.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = _settle(both, "edges")
-    labels = _settle(both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("node"), F.least("a", "near").alias("component")), "labels")
+    # a > b throughout
+    stars = _settle(real.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = _summary(stars)
     for _ in range(max_rounds):
-        seen = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("heard")), "b").groupBy(F.col("a").alias("of")).agg(F.min("heard").alias("heard"))
-        pulled = labels.join(seen, F.col("node") == F.col("of")).select("node", F.col("component").alias("was"), F.least("component", "heard").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("component").alias("further"))
-        moved = pulled.join(jump, "next").select("node", "was", F.least("next", "further").alias("component"))
-        moved = _settle(moved, "labels")
-        labels = moved.select("node", "component")
-        if not moved.filter("component <> was").limit(1).count():
+        both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("of"), F.least("a", "low").alias("low"))
+        large = both.filter("b > a").join(low, F.col("a") == F.col("of")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("of"), "low")
+        small = large.join(low, F.col("a") == F.col("of")).select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
+        stars = _settle(small, "stars")
+        after = _summary(stars)
+        if after == before:
             break
+        before = after
+    else:
+        raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
+    ends = stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     loops = real.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    return labels.unionByName(loops.join(labels, "node", "left_anti"))
+    return ends.unionByName(loops.join(ends, "node", "left_anti"))

@@ -215,11 +215,11 @@ def extend_decay(spark, sf):
 
 
 def _fill_round(t: str, n: int) -> str:
-    return f"""s{n} AS (SELECT vx + ox AS vx, vy + oy AS vy, vz + oz AS vz, sum(w * d) AS wd, sum(w) AS ww, count(*) AS n FROM {t}, o27 GROUP BY 1, 2, 9),
+    return f"""s{n} AS (SELECT vx + ox AS vx, vy + oy AS vy, vz + oz AS vz, sum(w * d) AS wd, sum(w) AS ww, count(*) AS n FROM {t}, o27 GROUP BY 1, 2, 3),
     e{n} AS (SELECT vx, vy, vz, d, w FROM {t} UNION ALL SELECT vx, vy, vz, wd / ww, ww / n FROM s{n} JOIN bricks ON (vx & -8) = bx AND (vy & -8) = \"by\" AND (vz & -8) = bz ANTI JOIN {t} USING (vx, vy, vz))"""
 
 
-@query("hole_fill_3", f"""WITH {i.VOX}, {_OFFSETS27}, bricks AS (SELECT DISTINCT vx & -8 AS bx, vy & -8 AS \"by\", vz & -8 AS bz FROM vox), {_fill_round('vox', 1)}, {_fill_round('e1', 2)}, {_fill_round('e2', 9)}
+@query("hole_fill_3", f"""WITH {i.VOX}, {_OFFSETS27}, bricks AS (SELECT DISTINCT vx & -8 AS bx, vy & -8 AS \"by\", vz & -8 AS bz FROM vox), {_fill_round('vox', 1)}, {_fill_round('e1', 2)}, {_fill_round('e2', 3)}
     SELECT vx, vy, vz, round(d + 3.7e-12, 9) + 0.0::DOUBLE AS d, round(w, 9) AS w FROM e3""")
 def hole_fill_3(spark, sf):
     return v.fill_holes(i.voxels(spark, sf), 3).select("vx", "vy", "vz", r(F.col("d") + OFF_TIES, 9).alias("d"), r("w", 9).alias("w"))
