@@ -8,8 +8,10 @@ Documents with equal shingle sets are one node, so copies never pair up with
 each other.  In a bucket every node is compared with the bucket's first node,
 on the full sets: links in proportion to the nodes, whatever the bucket's
 size.  Components of the confirmed links follow.  Only where a bucket still
-holds several components are the pairs across them compared too (sizes
-permitting), so that no link that bands propose between components is lost.
+holds several components is every node compared with every other component
+too, so that no link that bands propose between components is lost.  That is
+done block against block, through an index of the blocks' shingles, and gives
+one link at most for a node and a component: no pairs are written.
 
 Null and empty texts and texts without words have an empty set and are linked
 with nothing.  A text of fewer words than a shingle is one shingle.  Rows that
@@ -108,15 +110,13 @@ def signatures(docs: DataFrame, params: Params, id_col: str = "doc_id", text_col
     return map_arrow(kept, run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, n_shingles long, node binary, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, params: Params, id_col: str, text_col: str) -> DataFrame:
-    """Those of the (a, b) node pairs whose full sets are similar enough; nodes: (node, id of a document that has it)."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(ends, "node").select("node", F.col("id").alias(id_col))
+def node_sets(wanted: DataFrame, docs: DataFrame, params: Params, id_col: str, text_col: str) -> DataFrame:
+    """(node, grams) of the wanted (node, id of a document that has it), from the documents' texts."""
     # a null id finds its text through the null-safe comparison below
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    few = keep_ids(texts.filter("id is not null"), wanted.select(F.col(id_col).alias("id")).filter("id is not null").distinct(), "id").unionByName(texts.filter("id is null"))
-    held = few.join(wanted.withColumnRenamed(id_col, "want"), F.expr("id <=> want")).select("node", "text")
-    k, percent = params.shingle, params.percent
+    few = keep_ids(texts.filter("id is not null"), wanted.select("id").filter("id is not null").distinct(), "id").unionByName(texts.filter("id is null"))
+    held = few.join(wanted.select("node", F.col("id").alias("want")), F.expr("id <=> want")).select("node", "text")
+    k = params.shingle
 
     def sets(batches):
         """Drops the texts of a repeated id that make another node."""
@@ -126,7 +126,14 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, params: Param
                 right = [n for n, s in enumerate(found) if node_of(s) == own[n]]
                 yield pa.RecordBatch.from_arrays([pa.array([own[n] for n in right], pa.binary()), pa.array([found[n].tobytes() for n in right], pa.binary())], ["node", "grams"])
 
-    grams = map_arrow(held, sets, "node binary, grams binary")
+    return map_arrow(held, sets, "node binary, grams binary")
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, params: Params, id_col: str, text_col: str) -> DataFrame:
+    """Those of the (a, b) node pairs whose full sets are similar enough; nodes: (node, id of a document that has it)."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    grams = node_sets(nodes.join(ends, "node"), docs, params, id_col, text_col)
+    percent = params.percent
     both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
 
     def compare(batches):
@@ -145,6 +152,63 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, params: Param
     return map_arrow(both.select("a", "b", "ga", "gb"), compare, "a binary, b binary, linked boolean").filter("linked").select("a", "b").distinct()
 
 
+#: Shingles of one block, about: two blocks meet in a task.
+BLOCK = 2_000_000
+
+
+def cross_links(sets: list[np.ndarray], component: np.ndarray, block: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between sets of different components, one for a set and another component; only across blocks if there are two."""
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    grams = np.concatenate(sets)
+    order = np.argsort(grams, kind="stable")
+    grams, owner = grams[order], owner[order]
+    two = block.min() != block.max()
+    # a pair has an end outside the largest component
+    largest = np.bincount(component).argmax()
+    links = []
+    for x in np.flatnonzero(component != largest).tolist():
+        low, high = np.searchsorted(grams, sets[x], "left"), np.searchsorted(grams, sets[x], "right")
+        n = high - low
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        common = np.bincount(owner[at], minlength=len(sets))
+        good = (100 * common >= percent * (size[x] + size - common)) & (component != component[x])
+        if two:
+            good &= block != block[x]
+        found = np.flatnonzero(good)
+        links += [(x, int(found[i])) for i in np.unique(component[found], return_index=True)[1]]
+    return links
+
+
+def links_across(members: DataFrame, nodes: DataFrame, docs: DataFrame, params: Params, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): links between nodes of different components that share a band, and no fewer than connect these components.
+
+    members: (band, node, n, component) of the bands that hold several
+    components.  Nodes that bands join form a group; a large group is dealt
+    into blocks, and each two of its blocks (and each block with itself) meet
+    in one task with their sets.
+    """
+    leads = members.groupBy("band").agg(F.min("node").alias("a"))
+    groups = connected_components(members.join(leads, "band").select("a", F.col("node").alias("b")).distinct())
+    own = members.select("node", "n", "component").distinct().join(groups.withColumnRenamed("component", "group"), "node")
+    blocks = own.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    placed = materialize(own.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "minmax-placed")
+    sets = node_sets(nodes.join(placed.select("node"), "node"), docs, params, id_col, text_col)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = placed.select("node", "component", "group", "block", other).select("node", "component", "group", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = met.join(sets, "node").select("group", "i", "j", "block", "node", "component", "grams")
+    percent = params.percent
+
+    def meet(table: pa.Table) -> pa.Table:
+        node = table.column("node").to_pylist()
+        grams = [np.frombuffer(g, tx.U64) for g in table.column("grams").to_pylist()]
+        names, component = np.unique(np.array(table.column("component").to_pylist(), object), return_inverse=True)
+        found = cross_links(grams, component, table.column("block").to_numpy(), percent) if len(names) > 1 else []
+        return pa.table({"a": pa.array([node[x] for x, _ in found], pa.binary()), "b": pa.array([node[y] for _, y in found], pa.binary())})
+
+    return rows.groupBy("group", "i", "j").applyInArrow(meet, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row: component_id is the smallest id reachable over links, kept is true where it is the row's own."""
     signed = materialize(signatures(docs, params, id_col, text_col), "minmax-signatures")
@@ -162,19 +226,13 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     links = materialize(confirmed(stars, ids, docs, params, id_col, text_col), "minmax-links")
     labels = connected_components(links)
 
-    # buckets that hold several components: the pairs across them
+    # the bands that hold several components
     labelled = members.join(labels.withColumnRenamed("component", "found"), "node", "left").select("band", "node", "n", F.coalesce("found", "node").alias("component"))
     labelled = materialize(labelled, "minmax-labelled")
     mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select(F.col("band").alias("mixed_band"))
     open_members = materialize(labelled.join(mixed, F.col("band") == F.col("mixed_band")).select("band", "node", "n", "component"), "minmax-open")
-    left = open_members.select("band", F.col("node").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
-    right = open_members.select("band", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-    across = left.join(right, "band").filter(f"ac < bc and 100 * least(an, bn) >= {params.percent} * greatest(an, bn)")
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(across.join(tested, ["a", "b"], "left_anti"), "minmax-rest")
-    if rest.limit(1).count():
-        more = materialize(confirmed(rest, ids, docs, params, id_col, text_col), "minmax-more-links")
+    if open_members.limit(1).count():
+        more = materialize(links_across(open_members, ids, docs, params, id_col, text_col), "minmax-more-links")
         if more.limit(1).count():
             labels = connected_components(links.unionByName(more))
 
