@@ -188,3 +188,19 @@ def test_text_sources(spark, tmp_path):
     (tmp_path / "one.obj").write_text(whole)
     vs, fs = sources.obj_mesh(spark, str(tmp_path / "one.obj"))
     assert vs.count() == 3 and tuple(fs.select("v0", "v1", "v2").first()) == (0, 1, 2)
+
+
+def test_surface_of_a_ball_is_closed_and_turned_outwards(spark):
+    from tessera.operators import surface
+
+    cells = [(x, y, z, float(np.sqrt((x - 4.1) ** 2 + (y - 4.2) ** 2 + (z - 3.9) ** 2) - 2.7), 1.0) for x in range(9) for y in range(9) for z in range(9)]
+    t = surface.extract(spark.createDataFrame(cells, "vx int, vy int, vz int, d double, w double")).toPandas()
+    corners = [[tuple(np.round(t.loc[i, [f"{c}{k}" for c in "xyz"]].to_numpy(float), 7)) for k in range(3)] for i in t.index]
+    once = {}
+    for tri in corners:
+        for k in range(3):
+            e = (tri[k], tri[(k + 1) % 3])
+            once[e] = once.get(e, 0) + 1
+    assert all(once.get((b, a), 0) == n == 1 for (a, b), n in once.items())
+    outside = [np.dot(np.cross(np.subtract(b, a), np.subtract(c, a)), np.mean([a, b, c], 0) - [4.1, 4.2, 3.9]) for a, b, c in corners]
+    assert min(outside) > 0
