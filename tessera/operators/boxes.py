@@ -227,3 +227,33 @@ def step_sizes(boxes: DataFrame) -> DataFrame:
     big = F.least("lx", "ly") > 8
     one = lambda a, b: F.when(big, F.lit(a)).otherwise(F.lit(b))
     return boxes.select("obb_id", one(2.0, 1.0).alias("sx"), one(2.0, 1.0).alias("sy"), (one(2.0, 1.0) * g.PI / 180).alias("sangle"))
+
+
+def uniform(*keys: Column) -> Column:
+    """A number in (0, 1) that depends on the keys only: the same in every run, on every partitioning."""
+    return (F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") + 0.5) / float(1 << 53)
+
+
+def _normal(*keys: Column) -> Column:
+    return F.sqrt(-2 * F.log(uniform(*keys, F.lit(1)))) * F.cos(2 * g.PI * uniform(*keys, F.lit(2)))
+
+
+def jitter(boxes: DataFrame, copies: int, share: float = 0.1, angle: float = g.PI / 16, seed: int = 0) -> DataFrame:
+    """``copies`` moved boxes (.., copy) of each: normal offsets of ``share`` of the sides, turns within +-angle; each box has offsets of its own."""
+    many = boxes.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    key = lambda n: (F.col("obb_id"), F.col("copy"), F.lit(seed), F.lit(n))
+    return many.withColumns({"cx": F.col("cx") + _normal(*key(0)) * share * F.col("lx"), "cy": F.col("cy") + _normal(*key(1)) * share * F.col("ly"), "theta": F.col("theta") + (2 * uniform(*key(2)) - 1) * angle})
+
+
+def random_negatives(truth: DataFrame, template: tuple[float, float, float], low: tuple[float, float], high: tuple[float, float], n: int, seed: int = 0) -> DataFrame:
+    """n boxes of the template's sides at uniform poses that touch no true box: twice as many are drawn until enough are left."""
+    spark, drawn = truth.sparkSession, 2 * n
+    while True:
+        i = F.col("id")
+        at = lambda k: uniform(i, F.lit(seed), F.lit(k))
+        pose = spark.range(drawn).select((-i - 1).alias("obb_id"), F.lit(-1).alias("category"), F.lit(0.0).alias("score"), (low[0] + at(0) * (high[0] - low[0])).alias("cx"), (low[1] + at(1) * (high[1] - low[1])).alias("cy"), F.lit(0.0).alias("bz"), *[F.lit(float(s)).alias(c) for s, c in zip(template, ("lx", "ly", "lz"), strict=True)], (at(2) * 2 * g.PI).alias("theta"))
+        hit = overlaps(pose, truth).select(F.col("a_obb_id").alias("obb_id")).distinct()
+        free = pose.join(hit, "obb_id", "left_anti")
+        if free.limit(n).count() == n or drawn > 64 * n:
+            return free.orderBy(F.col("obb_id").desc()).limit(n)
+        drawn *= 2

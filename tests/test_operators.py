@@ -204,3 +204,12 @@ def test_surface_of_a_ball_is_closed_and_turned_outwards(spark):
     assert all(once.get((b, a), 0) == n == 1 for (a, b), n in once.items())
     outside = [np.dot(np.cross(np.subtract(b, a), np.subtract(c, a)), np.mean([a, b, c], 0) - [4.1, 4.2, 3.9]) for a, b, c in corners]
     assert min(outside) > 0
+
+
+def test_random_steps_repeat_and_avoid(spark):
+    x = box(spark, (1, 0), (1, 5))
+    moved = b.jitter(x, 40)
+    assert sorted(map(tuple, moved.collect())) == sorted(map(tuple, b.jitter(x.repartition(3), 40).collect()))
+    assert len({round(r["cx"] - 5 * r["obb_id"], 9) for r in moved.collect()}) == 80
+    free = b.random_negatives(x, (1, 1, 1), (-2, -2), (8, 2), 30)
+    assert free.count() == 30 and b.overlaps(free, x).count() == 0
