@@ -41,7 +41,7 @@ class SpeculativeBPE:
     """A byte-level BPE vocabulary that encodes words in batches."""
 
     #: Words whose encoding a worker remembers before it starts over.
-    REMEMBERED = 300_000
+    REMEMBERED = 150_000
     #: Bytes of a word up to which it is handled together with others.
     SHORT = 48
 
@@ -287,6 +287,11 @@ class SpeculativeBPE:
             out[i] = packed
         return out
 
+    def forget(self) -> None:
+        """Drop what is remembered: an idle worker shouldn't hold it."""
+        self._known.clear()
+        self._chunks.clear()
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed([text])[0], "<u4").tolist()
 
@@ -334,6 +339,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 sizes = np.cumsum([0, *(len(p) // 4 for p in packed)])
                 ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), ids], [id_col, "ids"])
+        codec.forget()
 
     kept = docs.select(id_col, text_col)
     return map_arrow(kept, run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, ids array<int>")
@@ -376,6 +382,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     ends = np.concatenate([[0], np.cumsum(counts)])
                     columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(every), "<u4").astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names)
+        codec.forget()
 
     kept = docs.select(id_col, text_col)
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 5 if with_ids else 4]

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessera.llm import text as tx
 from tessera.llm.runtime import map_arrow, materialize
@@ -182,14 +183,18 @@ def dedup_lines(docs: DataFrame, params: Params = Params(), id_col: str = "doc_i
     gone = materialize(removals(docs, params, id_col, text_col), "line-removals").select(F.col("doc").alias("__doc"), F.col("positions").alias("__positions"))
     joined = docs.join(gone, F.col(id_col) == F.col("__doc"), "left")
 
-    @F.pandas_udf("string")
-    def cut(texts, positions):
-        return texts.combine(positions, lambda t, p: t if p is None or t is None else without_lines(t, p.tolist()))
+    at, names = docs.columns.index(text_col), [*docs.columns, added]
+
+    def cut(batches):
+        for batch in batches:
+            texts = [t if t is None else without_lines(t, p) for t, p in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+            gone = [len(p) for p in batch.column(batch.num_columns - 1).to_pylist()]
+            columns = [*batch.columns[:-1], pa.array(gone, pa.int32())]
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    text = F.when(F.col("__positions").isNull(), F.col(text_col)).otherwise(F.col("__cut"))
     # only texts that lose lines go through Python
-    changed = joined.filter("__positions is not null").withColumn("__cut", cut(F.col(text_col), F.col("__positions")))
-    same = joined.filter("__positions is null").withColumn("__cut", F.lit(None).cast("string"))
-    both = same.unionByName(changed)
-    others = [F.col(c) if c != text_col else text.alias(c) for c in docs.columns]
-    return both.select(*others, F.coalesce(F.size("__positions"), F.lit(0)).alias(added))
+    same = joined.filter("__positions is null").select(*docs.columns, F.lit(0).alias(added))
+    changed = joined.filter("__positions is not null").select(*docs.columns, "__positions")
+    kinds = StructType([StructField(f.name, f.dataType) for f in docs.schema.fields] + [StructField(added, IntegerType())])
+    return same.unionByName(map_arrow(changed, cut, kinds))

@@ -58,10 +58,10 @@ def drop_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 #: Bytes of one Arrow batch handed to Python: long documents must not add up in a worker.
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 8 << 20
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``df.mapInArrow`` with batches bounded in bytes as well as in rows."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
     return df.mapInArrow(function, schema)

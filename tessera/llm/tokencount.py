@@ -33,7 +33,7 @@ class PieceCounter:
     """Counts of a SentencePiece BPE model with the identity normalizer."""
 
     #: Pre-tokens whose count a worker remembers before it starts over.
-    REMEMBERED = 600_000
+    REMEMBERED = 300_000
 
     def __init__(self, path: str):
         import sentencepiece
@@ -100,6 +100,10 @@ class PieceCounter:
         found = self._cut.findall(self.prefix + text.replace(" ", MARK))
         return Counter(p[1:] if p[0] == MARK and len(p) > 1 and p[1] != MARK else MARK + p for p in found)
 
+    def forget(self) -> None:
+        """Drop what is remembered: an idle worker shouldn't hold it."""
+        self._known.clear()
+
     def count(self, texts: list[str]) -> list[int]:
         block = [self.frequencies(t) for t in texts]
         known = self._known
@@ -137,6 +141,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
             tokens = [n for i, j in _text_groups(texts, 2 << 20) for n in counter.count(texts[i:j])]
             columns = [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, [id_col, "n_bytes", "n_tokens", "over_limit"])
+        counter.forget()
 
     kept = docs.select(id_col, text_col)
     return map_arrow(kept, run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
