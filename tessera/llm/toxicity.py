@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,10 +153,15 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, fit: Fit = Fit(),
     positives = texts.join(F.broadcast(toxic), id_col).withColumn("positive", F.lit(True))
     unlabelled = bounded_sample(texts.filter(may_learn), id_col, fit.max_unlabelled, seed=1).withColumn("positive", F.lit(False))
     rows = _presence(positives.unionByName(unlabelled), id_col, text_col).select("positive", id_col, F.slice("terms", 1, fit.max_terms).alias("terms"))
-    found = rows.orderBy("positive", F.xxhash64(id_col), id_col, F.hash("terms")).toPandas()
-    is_positive = found["positive"].to_numpy(bool)
-    terms = [np.asarray(t, np.int32) for t in found["terms"]]
-    return fit_nnpu([t for t, y in zip(terms, is_positive, strict=True) if y], [t for t, y in zip(terms, is_positive, strict=True) if not y], min(prior, 0.99), fit)
+    # as Arrow: a list of Python integers would take ten times the memory at the driver
+    found = rows.orderBy("positive", F.xxhash64(id_col), id_col, F.hash("terms")).select("positive", "terms").toArrow().combine_chunks()
+    groups = []
+    for flag in (True, False):
+        lists = found.filter(pc.equal(found.column("positive"), flag)).column("terms")
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())[:-1]
+        flat = pc.list_flatten(lists).to_numpy()
+        groups.append(np.split(flat, ends) if len(lists) else [])
+    return fit_nnpu(*groups, min(prior, 0.99), fit)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *others: str) -> DataFrame:
