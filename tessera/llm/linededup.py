@@ -1,8 +1,17 @@
-"""Line deduplication by pairwise alignment.
-
-Every line that several documents hold is credited to the first of them (the
-smallest id), and each later holder is paired with that one only: pairs in
-proportion to the lines, even where a third of all documents share one.  A
+"""Line deduplication: blocks of lines that an earlier document holds are deleted.
+
+A block is a run of neighbouring lines of ``Runs.words`` words or more that
+stands in an earlier document (one with a smaller id) as neighbouring lines
+too.  Every such block goes, whichever of the earlier documents holds it, and
+however many documents do.  No pairs of documents are made for it: a block is
+covered by its shortest runs of that many words, one from each of its lines
+onwards and one from each backwards, so it is enough to know for each shortest
+run the first document that holds it.  These runs are hashed, each line is in
+a few of them, and rows grow in proportion to the lines.  What counts is that
+an earlier document holds a block, not where or how often.
+
+With ``Params`` instead of ``Runs``, every line is credited to the first of its
+holders, and each later holder is paired with that one only.  A
 pair's common lines are aligned as patience diff does it: lines that are
 unique in both documents are put into the longest increasing order, and the
 gaps between them are filled with the other common lines (the k-th occurrence
@@ -13,20 +22,25 @@ documents are blocks, and blocks are deleted from the later document:
   ``rare_words`` words or more,
 * any block of ``common_words`` words or more.
 
+That leaves passages whose lines have different first holders, and short
+blocks that many documents share.
+
 Lines are compared without the white space at their ends; lines of nothing
 else are never compared nor deleted, and don't part a block.  A null or empty
-text has no lines.  Rows that repeat an id count as one document, and each of
-them loses the same lines; rows with a null id take no part.  An empty table
-stays empty.  All columns of the input are kept.
+text has no lines.  Rows that repeat an id count as one document, which loses
+nothing to itself; rows with a null id take no part.  An empty table stays
+empty.  All columns of the input are kept.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -42,36 +56,45 @@ class Params:
     common_words: int = 40
 
 
+@dataclass(frozen=True)
+class Runs:
+    words: int = 8  #: of a block, at least
+
+
+def _lines(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(line hashes, rows of the batch, words) of the lines with a word, some documents at a time."""
+    data, off = tx.flat(batch.column(1))
+    for i, j in tx.pieces(off):
+        raw, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
+        starts, ends, first = tx.word_spans(raw, o)
+        n = len(starts)
+        if not n:
+            continue
+        doc = np.repeat(np.arange(j - i), np.diff(first))
+        breaks = np.concatenate([[0], np.cumsum(raw == 0x0A)])
+        opens = np.ones(n, bool)
+        opens[1:] = (doc[1:] != doc[:-1]) | (breaks[starts[1:]] != breaks[ends[:-1]])
+        at = np.flatnonzero(opens)
+        after = np.append(at[1:], n)
+        yield tx.RangeHash(raw)(starts[at], ends[after - 1]), i + doc[at], after - at
+
+
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(line, doc, position, nth, alone, words): every line with a word; position counts these lines, nth the line's occurrences in its document."""
 
     def run(batches):
         for batch in batches:
-            data, off = tx.flat(batch.column(1))
-            for i, j in tx.pieces(off):
-                raw, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                starts, ends, first = tx.word_spans(raw, o)
-                n = len(starts)
-                if not n:
-                    continue
-                doc = np.repeat(np.arange(j - i), np.diff(first))
-                breaks = np.concatenate([[0], np.cumsum(raw == 0x0A)])
-                opens = np.ones(n, bool)
-                opens[1:] = (doc[1:] != doc[:-1]) | (breaks[starts[1:]] != breaks[ends[:-1]])
-                at = np.flatnonzero(opens)
-                after = np.append(at[1:], n)
-                line = tx.RangeHash(raw)(starts[at], ends[after - 1])
-                d = doc[at]
-                position = np.arange(len(at)) - np.searchsorted(d, d)
+            for line, d, words in _lines(batch):
+                position = np.arange(len(d)) - np.searchsorted(d, d)
                 order = np.lexsort((position, line, d))
-                same = np.zeros(len(at), bool)
+                same = np.zeros(len(d), bool)
                 same[1:] = (line[order][1:] == line[order][:-1]) & (d[order][1:] == d[order][:-1])
                 head = np.flatnonzero(~same)
                 run_of = np.cumsum(~same) - 1
-                nth, alone = np.empty(len(at), np.int32), np.empty(len(at), bool)
-                nth[order] = np.arange(len(at)) - head[run_of]
-                alone[order] = (np.diff(np.append(head, len(at))) == 1)[run_of]
-                columns = [pa.array(line.view(np.int64)), batch.column(0).take(pa.array(i + d)), pa.array(position, pa.int32()), pa.array(nth), pa.array(alone), pa.array((after - at).astype(np.int32))]
+                nth, alone = np.empty(len(d), np.int32), np.empty(len(d), bool)
+                nth[order] = np.arange(len(d)) - head[run_of]
+                alone[order] = (np.diff(np.append(head, len(d))) == 1)[run_of]
+                columns = [pa.array(line.view(np.int64)), batch.column(0).take(pa.array(d)), pa.array(position, pa.int32()), pa.array(nth), pa.array(alone), pa.array(words.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["line", "doc", "position", "nth", "alone", "words"])
 
     kept = docs.select(id_col, text_col).filter(F.col(id_col).isNotNull())
@@ -165,6 +188,50 @@ def removals(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id",
     return map_arrow(gathered, run, f"doc {gathered.schema[0].dataType.simpleString()}, positions array<int>").filter("size(positions) > 0")
 
 
+def shortest_runs(line: np.ndarray, d: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first lines, last lines) of the shortest runs of ``least`` words from each line onwards and backwards, in its document."""
+    n = len(line)
+    total = np.concatenate([[0], np.cumsum(words)])
+    onwards = np.searchsorted(total, total[:-1] + least) - 1
+    there = np.flatnonzero((onwards < n) & (d[np.minimum(onwards, n - 1)] == d))
+    backwards = np.searchsorted(total, total[1:] - least, side="right") - 1
+    other = np.flatnonzero((backwards >= 0) & (d[np.maximum(backwards, 0)] == d))
+    other = other[onwards[backwards[other]] != other]
+    a, b = np.concatenate([there, backwards[other]]), np.concatenate([onwards[there], other])
+    h = (b - a).astype(tx.U64)
+    for k in range(int((b - a).max(initial=-1)) + 1):
+        on = np.flatnonzero(a + k <= b)
+        h[on] = tx.mix64(h[on] * tx.U64(0xD6E8FEB86659FD93) + line[a[on] + k])
+    return h, a, b
+
+
+def run_table(docs: DataFrame, params: Runs, id_col: str, text_col: str) -> DataFrame:
+    """(run, doc, version, start, stop): the shortest runs of each text; start and stop count its lines with a word, version is the text's hash."""
+
+    def run(batches):
+        for batch in batches:
+            for line, d, words in _lines(batch):
+                h, a, b = shortest_runs(line, d, words, params.words)
+                zero = np.searchsorted(d, d)[a]
+                row = pa.array(d[a])
+                columns = [pa.array(h.view(np.int64)), batch.column(0).take(row), batch.column(2).take(row), pa.array((a - zero).astype(np.int32)), pa.array((b - zero).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["run", "doc", "version", "start", "stop"])
+
+    kept = docs.select(id_col, text_col, F.xxhash64(text_col)).filter(F.col(id_col).isNotNull())
+    return map_arrow(kept, run, f"run long, doc {kept.schema[0].dataType.simpleString()}, version long, start int, stop int")
+
+
+def held_before(docs: DataFrame, params: Runs = Runs(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, version, positions): the lines of each text that are in a block of an earlier document."""
+    every = materialize(run_table(docs, params, id_col, text_col), "line-runs")
+    owners = every.groupBy("run").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"))
+    shared = materialize(owners.filter("owner < last").select("run", "owner"), "line-run-owners")
+    met = every.join(shared, "run").filter("doc > owner")
+    # a text's own runs at most
+    found = met.groupBy("doc", "version").agg(F.collect_set(F.struct("start", "stop")).alias("found"))
+    return found.select("doc", "version", F.expr("array_sort(array_distinct(flatten(transform(found, r -> sequence(r.start, r.stop)))))").alias("positions"))
+
+
 def without_lines(text: str, positions: list[int]) -> str:
     """The text without its lines at these positions, counted among the lines with a word."""
     gone, kept, at = set(positions), [], 0
@@ -178,23 +245,31 @@ def without_lines(text: str, positions: list[int]) -> str:
     return "\n".join(kept)
 
 
-def dedup_lines(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", added: str = "lines_removed") -> DataFrame:
+def dedup_lines(docs: DataFrame, params: Params | Runs = Runs(), id_col: str = "doc_id", text_col: str = "text", added: str = "lines_removed") -> DataFrame:
     """All rows and columns, the texts without the deleted blocks; ``added``: how many lines a text has lost."""
-    gone = materialize(removals(docs, params, id_col, text_col), "line-removals").select(F.col("doc").alias("__doc"), F.col("positions").alias("__positions"))
-    joined = docs.join(gone, F.col(id_col) == F.col("__doc"), "left")
+    same_text = F.col(id_col) == F.col("__doc")
+    if isinstance(params, Runs):
+        gone = held_before(docs, params, id_col, text_col).withColumnRenamed("version", "__version")
+        same_text &= F.xxhash64(text_col) == F.col("__version")
+    else:
+        gone = removals(docs, params, id_col, text_col)
+    gone = materialize(gone, "line-removals").withColumnsRenamed({"doc": "__doc", "positions": "__positions"})
+    # deletions grow with the texts, so they are never broadcast: texts are dealt once
+    joined = docs.join(gone.hint("merge"), same_text, "left").select(*docs.columns, "__positions")
 
     at, names = docs.columns.index(text_col), [*docs.columns, added]
 
     def cut(batches):
         for batch in batches:
-            texts = [t if t is None else without_lines(t, p) for t, p in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
-            gone = [len(p) for p in batch.column(batch.num_columns - 1).to_pylist()]
-            columns = [*batch.columns[:-1], pa.array(gone, pa.int32())]
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            text, found = batch.column(at), batch.column(batch.num_columns - 1)
+            changed = found.is_valid()
+            # only texts that lose lines become Python's
+            pairs = zip(text.filter(changed).to_pylist(), found.filter(changed).to_pylist(), strict=True)
+            left = pa.array([t if t is None else without_lines(t, p) for t, p in pairs], text.type)
+            gone = pc.fill_null(pc.list_value_length(found), 0).cast(pa.int32())
+            columns = [*batch.columns[:-1], gone]
+            columns[at] = pc.replace_with_mask(text, changed, left)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    # only texts that lose lines go through Python
-    same = joined.filter("__positions is null").select(*docs.columns, F.lit(0).alias(added))
-    changed = joined.filter("__positions is not null").select(*docs.columns, "__positions")
     kinds = StructType([StructField(f.name, f.dataType) for f in docs.schema.fields] + [StructField(added, IntegerType())])
-    return same.unionByName(map_arrow(changed, cut, kinds))
+    return map_arrow(joined, cut, kinds)

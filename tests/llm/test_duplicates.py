@@ -191,6 +191,46 @@ def test_line_dedup(docs):
     assert any(want[d] != texts[d] for d in texts) and want[0] == texts[0]
 
 
+def held_oracle(texts, least):
+    """Every block of neighbouring lines that some earlier document holds, looked for in all pairs of documents."""
+    lines = {d: [x.strip() for x in t.split("\n") if x.strip()] for d, t in texts.items()}
+    out = {}
+    for d, own in lines.items():
+        gone = set()
+        for e in (e for e in lines if e < d):
+            for i in range(len(own)):
+                for j in range(len(lines[e])):
+                    n = 0
+                    while i + n < len(own) and j + n < len(lines[e]) and own[i + n] == lines[e][j + n]:
+                        n += 1
+                    if sum(len(WORD.findall(x)) for x in own[i : i + n]) >= least:
+                        gone.update(range(i, i + n))
+        out[d] = linededup.without_lines(texts[d], gone)
+    return out
+
+
+def test_line_dedup_against_all_earlier_documents(docs):
+    rng = random.Random(12)
+    pool = [" ".join(rng.choice("abcdefgh") * 2 for _ in range(rng.randint(1, 11))) for _ in range(60)]
+    # every third line is first seen alone: the copies' lines have different first holders
+    texts = [pool[3 * i] for i in range(10)]
+    for d in range(40):
+        start = rng.randrange(50)
+        own = [rng.choice(pool) for _ in range(rng.randint(0, 6))] + pool[start : start + rng.randint(0, 8)] + [f"only here {d} " * 4]
+        texts.append("\n".join(rng.choice([x, f"  {x} ", x + "\n"]) for x in own))
+    texts.append(texts[-1])
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs(*texts)).collect()}
+    assert got == held_oracle(dict(enumerate(texts)), 8)
+    assert not got[len(texts) - 1].strip() and texts[-1].strip()
+
+
+def test_line_dedup_of_a_repeated_id_goes_by_text(docs):
+    passage = "one two three four five\nsix seven eight nine"
+    table = docs(passage, "fresh\nown words of this row\nthat nobody else has had", extra=[(1, f"new\n{passage}", "en", "s", 1, "x", "y", "z")])
+    got = sorted((r["doc_id"], r["text"]) for r in linededup.dedup_lines(table).collect())
+    assert got == [(0, passage), (1, "fresh\nown words of this row\nthat nobody else has had"), (1, "new")]
+
+
 def test_longest_increasing_alignment():
     rng = random.Random(9)
     for _ in range(200):
