@@ -231,6 +231,13 @@ def test_line_dedup_of_a_repeated_id_goes_by_text(docs):
     assert got == [(0, passage), (1, "fresh\nown words of this row\nthat nobody else has had"), (1, "new")]
 
 
+def test_line_dedup_at_any_number_of_holders(docs):
+    licence = "this line of ten words stands in very many documents"
+    got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in linededup.dedup_lines(docs(*[f"own {d}\n{licence}\nend {d}" for d in range(130)])).collect()}
+    assert got[0] == (f"own 0\n{licence}\nend 0", 0)
+    assert all(got[d] == (f"own {d}\nend {d}", 1) for d in range(1, 130))
+
+
 def test_longest_increasing_alignment():
     rng = random.Random(9)
     for _ in range(200):
