@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import text as tx
 from tessera.llm.merging import IntMap
-from tessera.llm.runtime import bounded_sample, map_arrow
+from tessera.llm.runtime import bounded_sample, map_arrow, materialize
 
 #: From this score on a document is predicted toxic.
 CUT = 0.3
@@ -62,7 +62,6 @@ class Fit:
     rounds: int = 400
     rate: float = 0.05
     shrink: float = 3e-3
-    max_terms: int = 2500  #: features of one sampled document that are sent to the fit
 
 
 @dataclass(frozen=True)
@@ -138,6 +137,21 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return Model(index.astype(np.int64), w.astype(np.float64), float(b), prior)
 
 
+def telling(rows: DataFrame, prior: float, fit: Fit) -> list[int]:
+    """The features that ``fit_nnpu`` can keep, by their counts in whole texts; twice as many as it keeps at most."""
+    n = {r["positive"]: r["n"] for r in rows.groupBy("positive").agg(F.count("*").alias("n")).collect()}
+    np_, nu = n.get(True, 0), n.get(False, 0)
+    if not np_ or not nu:
+        return []
+    counts = rows.select("positive", F.explode("terms").alias("term")).groupBy("term").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
+    pooled = (F.col("p") + F.col("u")) / (np_ + nu)
+    z = (F.col("p") / np_ - F.col("u") / nu) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / np_ + 1 / nu))
+    # a little below fit_nnpu's own bounds, which decide
+    lifted = F.col("p") / np_ >= min(fit.lift, 1 / min(prior, 0.99) / 2) * F.col("u") / nu * (1 - 1e-9)
+    best = counts.withColumn("z", z).filter((F.col("z") > 4 - 1e-6) & lifted).orderBy(F.desc("z"), "term").limit(2 * fit.kept)
+    return [r["term"] for r in best.select("term").collect()]
+
+
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, fit: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from the ids marked 1 in ``labels`` and from documents whatever their marks, both only where ``may_learn`` holds.
 
@@ -152,9 +166,11 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, fit: Fit = Fit(),
     texts = docs.select(id_col, text_col)
     positives = texts.join(F.broadcast(toxic), id_col).withColumn("positive", F.lit(True))
     unlabelled = bounded_sample(texts.filter(may_learn), id_col, fit.max_unlabelled, seed=1).withColumn("positive", F.lit(False))
-    rows = _presence(positives.unionByName(unlabelled), id_col, text_col).select("positive", id_col, F.slice("terms", 1, fit.max_terms).alias("terms"))
+    rows = materialize(_presence(positives.unionByName(unlabelled), id_col, text_col), "toxicity-terms")
+    terms = F.array(*[F.lit(t) for t in telling(rows, prior, fit)]).cast("array<int>")
+    rows = rows.withColumn("whole", F.hash("terms")).withColumn("terms", F.array_intersect("terms", terms))
     # as Arrow: a list of Python integers would take ten times the memory at the driver
-    found = rows.orderBy("positive", F.xxhash64(id_col), id_col, F.hash("terms")).select("positive", "terms").toArrow().combine_chunks()
+    found = rows.orderBy("positive", F.xxhash64(id_col), id_col, "whole").select("positive", "terms").toArrow().combine_chunks()
     groups = []
     for flag in (True, False):
         lists = found.filter(pc.equal(found.column("positive"), flag)).column("terms")

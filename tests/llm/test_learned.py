@@ -55,6 +55,21 @@ def test_non_negative_risk_learns_from_positives_and_the_rest():
     assert (model.weights[model.index < 20] > 0).all()
 
 
+def test_toxic_words_of_long_texts_are_learned_whatever_their_hash(spark, docs):
+    def high(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return int(toxicity.feature_hashes(raw, np.array([0, len(raw)]))[0].min())
+
+    # every feature of this word comes behind the first 2,500 of a long text
+    bad = max((f"bad{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"), key=high)
+    filler = " ".join(f"n{i}x" for i in range(4000))
+    table = docs(*[f"{filler} {bad}" if d < 30 else filler for d in range(120)])
+    labels = spark.createDataFrame([(d, int(d < 30)) for d in range(120)], "doc_id long, toxic int")
+    model = toxicity.fit(table, labels, F.lit(True))
+    raw = np.frombuffer(bad.encode(), np.uint8)
+    assert set(model.index.tolist()) >= set(toxicity.feature_hashes(raw, np.array([0, len(raw)]))[0].astype(np.int64).tolist())
+
+
 def test_edges(spark, odd, none, docs):
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 1), (5, None, None), (77, 1, 1)], "doc_id long, quality int, toxic int")
     everyone = F.lit(True)
