@@ -49,6 +49,7 @@ _CLASS[128:256] = np.arange(36, 164)
 @dataclass(frozen=True)
 class Fit:
     documents: int = 6000  #: labelled documents that the fit sees at most, about; as many of each language as there are
+    stretch: int = 2000  #: characters of each of these documents that the windows are drawn from
     windows: int = 3  #: of each of these documents
     window: int = 192  #: bytes
     filters: int = 16  #: of each width
@@ -196,7 +197,7 @@ def fit(docs: DataFrame, may_learn: Column, fit: Fit = Fit(), id_col: str = "doc
     shares = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(scale, int(each / n * scale) + 1))])
     drawn = labelled.filter(F.pmod(F.xxhash64(id_col), F.lit(scale)) < shares[F.col("lang")])
     # of a long document one stretch is enough to learn from
-    rows = drawn.select("lang", F.expr(f"substring(text, 1 + pmod(xxhash64({id_col}, 5), greatest(1, length(text) - 2000)), 2000)").alias("t"), F.xxhash64(id_col).alias("o")).orderBy("o", "lang", "t").collect()
+    rows = drawn.select("lang", F.expr(f"substring(text, 1 + pmod(xxhash64({id_col}, 5), greatest(1, length(text) - {fit.stretch})), {fit.stretch})").alias("t"), F.xxhash64(id_col).alias("o")).orderBy("o", "lang", "t").collect()
     return train([r["t"].encode() for r in rows], [r["lang"] for r in rows], fit)
 
 
