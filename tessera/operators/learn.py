@@ -118,12 +118,12 @@ def reconstruct(means: DataFrame, base: DataFrame, coeffs: DataFrame) -> DataFra
 
 def joint_models(cells: DataFrame, rounds: int = 3, least: int = 2) -> tuple[DataFrame, DataFrame]:
     """(means, assignment): de-noise, model and re-assign in turn, from the clusters given."""
-    from tessera.plans.components import _settle
+    from tessera.plans.components import settle
 
     current = cells
     for _ in range(rounds):
-        means = _settle(cell_mean(clean_cells(current, least)), "means")
-        assignment = _settle(assign_clusters(cluster_errors(current, means)), "assignment")
+        means = settle(cell_mean(clean_cells(current, least)), "means")
+        assignment = settle(assign_clusters(cluster_errors(current, means)), "assignment")
         current = cells.drop("cluster").join(assignment.select("sample", "cluster"), "sample")
     return means, assignment
 
@@ -166,18 +166,18 @@ def train_linear(features: DataFrame, labels: DataFrame, positive_weight: float
 
     labels: (sample, y) with y 1 or -1.  Every step is one join and two sums.
     """
-    from tessera.plans.components import _settle
+    from tessera.plans.components import settle
 
     spark = features.sparkSession
     n = labels.count()
-    weights = _settle(features.select("feature").distinct().withColumn("wt", F.lit(0.0)), "weights")
+    weights = settle(features.select("feature").distinct().withColumn("wt", F.lit(0.0)), "weights")
     bias = 0.0
     for _ in range(rounds):
         score = linear_score(features, weights, bias).join(labels, "sample")
         pull = score.select("sample", (F.when(F.col("y") > 0, F.lit(positive_weight)).otherwise(F.lit(1.0)) * -F.col("y") / (1 + F.exp(F.col("y") * F.col("score")))).alias("g"))
-        pull = _settle(pull, "pull")
+        pull = settle(pull, "pull")
         grad = features.join(pull, "sample").groupBy("feature").agg((F.sum(F.col("x") * F.col("g")) / n).alias("grad"))
-        weights = _settle(weights.join(grad, "feature", "left").select("feature", (F.col("wt") * (1 - regularization) - 0.5 * F.coalesce("grad", F.lit(0.0))).alias("wt")), "weights")
+        weights = settle(weights.join(grad, "feature", "left").select("feature", (F.col("wt") * (1 - regularization) - 0.5 * F.coalesce("grad", F.lit(0.0))).alias("wt")), "weights")
         bias -= 0.5 * (pull.agg(F.sum("g")).first()[0] or 0.0) / max(1, n)
     del spark
     return weights, bias

@@ -248,13 +248,13 @@ def extend(voxels: DataFrame, kernel: dict[tuple[int, int, int], float] | None =
 
 def fill_holes(voxels: DataFrame, rounds: int, kernel: dict[tuple[int, int, int], float] | None = None) -> DataFrame:
     """``extend``, again and again; the bricks are those of the first volume."""
-    from tessera.plans.components import _settle
+    from tessera.plans.components import settle
 
     out = voxels
     for i in range(rounds):
         out = extend(out, kernel)
         if i % 3 == 2:
-            out = _settle(out, "fill-holes")
+            out = settle(out, "fill-holes")
     return out
 
 

@@ -5,18 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.skew import join_unique
 
-def _settle(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: a Parquet table in the folder of spark.checkpoint.dir, which all executors share."""
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; a temporary folder where it is unset, which only a local session may use."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tessera-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: a Parquet table in the shared folder, read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -31,20 +40,25 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Large-star and small-star in turn: each node hands its larger neighbours
     to its smallest one, then its smaller neighbours.  The edges become stars
     around the smallest nodes in about log(n) rounds, whatever the graph's
-    diameter, and never grow in number.  It ends when a round changes no edge,
-    and raises after ``max_rounds``.  An edge with a null end is ignored.
+    diameter, and never grow in number.  A finished star takes no part in the
+    joins: its centre has no smaller neighbour and its leaves only one; the
+    edges of a hub that does take part are not dealt to one task.  It ends
+    when a round changes no edge, and raises after ``max_rounds``.  An edge
+    with a null end is ignored.
     """
     real = edges.filter("a is not null and b is not null")
     # a > b throughout
-    stars = _settle(real.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    stars = settle(real.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _summary(stars)
     for _ in range(max_rounds):
-        both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("of"), F.least("a", "low").alias("low"))
-        large = both.filter("b > a").join(low, F.col("a") == F.col("of")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("of"), "low")
-        small = large.join(low, F.col("a") == F.col("of")).select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
-        stars = _settle(small, "stars")
+        # large: b's larger neighbours go to its smallest one
+        low = stars.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "b")
+        large = settle(join_unique(stars, low, "b", "left").select("a", F.coalesce("low", "b").alias("b")).distinct(), "large-stars")
+        # small: a's smaller neighbours go to its smallest one
+        least = large.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+        several = least.filter("low < high").select("a", "low")
+        handed = join_unique(large, several, "a").filter("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        stars = settle(least.select("a", F.col("low").alias("b")).unionByName(handed).distinct(), "stars")
         after = _summary(stars)
         if after == before:
             break
