@@ -20,15 +20,15 @@ def hot_keys(many: DataFrame, key: str) -> list:
     return [bytes(r[0]) if isinstance(r[0], bytearray) else r[0] for r in heavy.select(key).collect()]
 
 
-def join_unique(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_unique(many: DataFrame, one: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
     """``many`` joined (inner or left) with ``one``, which has a row for each key at most.
 
     Rows of hot keys meet their one row by broadcast, where they are; the
     others are shuffled, and no task gets more than its share of them.  The
     broadcast holds fewer than HOT_KEYS rows.  ``many`` is read up to four
-    times: give a written table.
+    times: give a written table, or the hot keys if they are known.
     """
-    hot = hot_keys(many, key)
+    hot = hot_keys(many, key) if hot is None else hot
     if not hot:
         return many.join(one, key, how)
     heavy = F.col(key).isin(hot)
