@@ -7,8 +7,9 @@ are verified together, one vectorised check over their adjacent token pairs.
 Only words with a failing pair go through exact merging.
 
 Null and empty texts encode to no ids and decode to the empty string; a word
-of any length is merged exactly, in O(n log n) steps; repeated rows give
-repeated results.  Extra columns of the input are not read.
+of any length is proposed and verified like any other, and if it fails merged
+in O(n log n) steps; repeated rows and null ids give their results row by row;
+an empty table gives no rows.  Extra columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ class SpeculativeBPE:
 
     #: Words whose encoding a worker remembers before it starts over.
     REMEMBERED = 150_000
-    #: Bytes of a word up to which it is handled together with others.
+    #: Bytes of a word up to which it walks the trie, and is merged, side by side with others.
     SHORT = 48
 
     def __init__(self, path: str):
@@ -143,6 +144,26 @@ class SpeculativeBPE:
         order = np.argsort(owner, kind="stable")
         return np.concatenate(tokens)[order], owner[order]
 
+    def propose_long(self, word: bytes) -> np.ndarray:
+        """Greedy longest match of one long word: the longest token at all its bytes, side by side, then the chain of those that follow one another."""
+        data = np.frombuffer(word, np.uint8)
+        best, size = np.zeros(len(data), np.int32), np.zeros(len(data), np.int64)
+        at, node, depth = np.arange(len(data)), np.zeros(len(data), np.int64), 0
+        while len(at):
+            node = self._trie.get(node << 8 | data[at + depth]).astype(np.int64)
+            at, node = at[node >= 0], node[node >= 0]
+            depth += 1
+            token = self._accept[node]
+            passed = token >= 0
+            best[at[passed]], size[at[passed]] = token[passed], depth
+            inside = at + depth < len(data)
+            at, node = at[inside], node[inside]
+        step, cursor, chain = size.tolist(), 0, []
+        while cursor < len(word):
+            chain.append(cursor)
+            cursor += step[cursor]
+        return best[chain]
+
     def _pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         rank = self._pairs.get(a << 32 | b)
         return np.where(rank >= 0, rank, NEVER)
@@ -196,25 +217,32 @@ class SpeculativeBPE:
         """The encodings of words that are cut already, packed as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(words)
         short = [i for i, w in enumerate(words) if len(w) <= self.SHORT]
-        for i, w in enumerate(words):
-            if len(w) > self.SHORT:
-                ids = self.merge(w)
-                out[i] = struct.pack(f"<{len(ids)}I", *ids)
-        batch = [words[i] for i in short]
-        tokens, owner = self.propose(batch)
+        tokens, owner = self.propose([words[i] for i in short])
+        owner = np.array(short, np.int64)[owner]
+        long = [i for i, w in enumerate(words) if len(w) > self.SHORT]
+        proposed = [self.propose_long(words[i]) for i in long]
+        # the proposals of short words, in order, then those of long ones
+        order = np.array(short + long, np.int64)
+        tokens = np.concatenate([tokens, *proposed])
+        owner = np.concatenate([owner, np.repeat(np.array(long, np.int64), [len(p) for p in proposed])])
         inner = owner[1:] == owner[:-1]
         wide = tokens.astype(np.int64)
         pairs, which = np.unique(wide[:-1][inner] << 32 | wide[1:][inner], return_inverse=True)
         bad = ~self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[which]
-        failing = np.zeros(len(batch), bool)
+        failing = np.zeros(len(words), bool)
         failing[owner[1:][inner][bad]] = True
         good = ~failing[owner]
-        counts = np.bincount(owner[good], minlength=len(batch))
-        self._pack(tokens[good], counts, short, out)
+        counts = np.bincount(owner[good], minlength=len(words))
+        self._pack(tokens[good], counts[order], order.tolist(), out)
         again = np.flatnonzero(failing).tolist()
-        self._pack(*self._merge_short([batch[i] for i in again]), [short[i] for i in again], out)
+        few = [i for i in again if len(words[i]) <= self.SHORT]
+        self._pack(*self._merge_short([words[i] for i in few]), few, out)
+        for i in again:
+            if len(words[i]) > self.SHORT:
+                ids = self.merge(words[i])
+                out[i] = struct.pack(f"<{len(ids)}I", *ids)
         self.stats["words"] += len(words)
-        self.stats["merged"] += len(again) + len(words) - len(short)
+        self.stats["merged"] += len(again)
         return out
 
     @staticmethod

@@ -5,7 +5,8 @@ widths slide over a window's bytes; each keeps its maximum over the window;
 a softmax over these maxima gives the window's language probabilities, and the
 windows' mean log probabilities give the document's.  The network is trained
 here, in NumPy, on a bounded, stratified sample of labelled documents
-(``Fit``).  Windows cover the whole text.
+(``Fit``), whose windows are drawn from the whole text where they lie.
+Prediction goes over all windows of the whole text.
 
 A filter over w bytes is a sum of w table entries.  For prediction the tables
 of neighbouring positions are summed beforehand, two bytes at a time, so that
@@ -13,8 +14,8 @@ a filter costs one or two look-ups a byte.
 
 Null texts and texts without a letter are ``und`` with score 0.  A text
 shorter than a window is padded with a byte class that no text has.  Without
-labelled documents everything is ``und``.  Repeated rows get repeated results.
-Extra columns are not read.
+labelled documents everything is ``und``.  Repeated rows get repeated results,
+an empty table gives none.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -49,11 +50,10 @@ _CLASS[128:256] = np.arange(36, 164)
 @dataclass(frozen=True)
 class Fit:
     documents: int = 6000  #: labelled documents that the fit sees at most, about; as many of each language as there are
-    stretch: int = 2000  #: characters of each of these documents that the windows are drawn from
-    windows: int = 3  #: of each of these documents
+    windows: int = 12  #: of each of these documents at most, drawn from all windows of its whole text
     window: int = 192  #: bytes
     filters: int = 16  #: of each width
-    rounds: int = 12
+    rounds: int = 4
     batch: int = 64
     rate: float = 0.01
     seed: int = 11
@@ -77,18 +77,13 @@ def windows_of(data: np.ndarray, size: int) -> np.ndarray:
     return out.reshape(n, size)
 
 
-def train(texts: list[bytes], languages: list[str], fit: Fit) -> Network | None:
+def train(x: np.ndarray, languages: list[str], fit: Fit) -> Network | None:
+    """Learn from windows of byte classes, a row each, and their languages."""
     names = sorted(set(languages))
     if not names:
         return None
     rng = np.random.default_rng(fit.seed)
-    x, y = [], []
-    for t, lang in zip(texts, languages, strict=True):
-        w = windows_of(np.frombuffer(t, np.uint8), fit.window)
-        for i in rng.permutation(len(w))[: fit.windows]:
-            x.append(w[i])
-            y.append(names.index(lang))
-    x, y = np.array(x), np.array(y)
+    y = np.searchsorted(names, languages)
     f, k = fit.filters, len(names)
     tables = [rng.normal(0, 0.1, (w, CLASSES, f)).astype(np.float32) for w in WIDTHS]
     biases = [np.zeros(f, np.float32) for _ in WIDTHS]
@@ -196,9 +191,23 @@ def fit(docs: DataFrame, may_learn: Column, fit: Fit = Fit(), id_col: str = "doc
     scale = 1 << 30
     shares = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(scale, int(each / n * scale) + 1))])
     drawn = labelled.filter(F.pmod(F.xxhash64(id_col), F.lit(scale)) < shares[F.col("lang")])
-    # of a long document one stretch is enough to learn from
-    rows = drawn.select("lang", F.expr(f"substring(text, 1 + pmod(xxhash64({id_col}, 5), greatest(1, length(text) - {fit.stretch})), {fit.stretch})").alias("t"), F.xxhash64(id_col).alias("o")).orderBy("o", "lang", "t").collect()
-    return train([r["t"].encode() for r in rows], [r["lang"] for r in rows], fit)
+    size = fit.window
+
+    def cut(batches):
+        """The drawn windows of each text; the draw depends on the row's hash alone."""
+        for batch in batches:
+            order, found = batch.column(0).to_pylist(), []
+            for o, t in zip(order, batch.column(2).to_pylist(), strict=True):
+                w = windows_of(np.frombuffer(t.encode(), np.uint8), size)
+                pick = np.random.default_rng([fit.seed, o & ((1 << 63) - 1)]).permutation(len(w))[: fit.windows]
+                found.append(w[np.sort(pick)].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["o", "lang", "windows"])
+
+    rows = map_arrow(drawn.select(F.xxhash64(id_col, "text").alias("o"), "lang", "text"), cut, "o long, lang string, windows binary")
+    found = rows.orderBy("o", "lang", "windows").toArrow()
+    each_x = [np.frombuffer(w, np.uint8).reshape(-1, size) for w in found.column("windows").to_pylist()]
+    langs = [lang for lang, w in zip(found.column("lang").to_pylist(), each_x, strict=True) for _ in w]
+    return train(np.vstack(each_x) if each_x else np.zeros((0, size), np.uint8), langs, fit)
 
 
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", *others: str) -> DataFrame:

@@ -1,35 +1,28 @@
-"""Line deduplication: blocks of lines that an earlier document holds are deleted.
-
-A block is a run of neighbouring lines of ``Runs.words`` words or more that
-stands in an earlier document (one with a smaller id) as neighbouring lines
-too.  Every such block goes, whichever of the earlier documents holds it, and
-however many documents do.  No pairs of documents are made for it: a block is
-covered by its shortest runs of that many words, one from each of its lines
-onwards and one from each backwards, so it is enough to know for each shortest
-run the first document that holds it.  These runs are hashed, each line is in
-a few of them, and rows grow in proportion to the lines.  What counts is that
-an earlier document holds a block, not where or how often.
-
-With ``Params`` instead of ``Runs``, every line is credited to the first of its
-holders, and each later holder is paired with that one only.  A
-pair's common lines are aligned as patience diff does it: lines that are
-unique in both documents are put into the longest increasing order, and the
-gaps between them are filled with the other common lines (the k-th occurrence
-of a line meets the k-th).  Runs of aligned lines that are neighbours in both
-documents are blocks, and blocks are deleted from the later document:
-
-* a block with a rare line (of at most ``Params.rare`` documents) if it has
-  ``rare_words`` words or more,
-* any block of ``common_words`` words or more.
-
-That leaves passages whose lines have different first holders, and short
-blocks that many documents share.
+"""Line deduplication: documents that overlap are aligned, and the later one loses the common blocks.
+
+Overlapping documents are found through rare line hashes.  A single short line
+is no evidence, so what is hashed is the shortest run of neighbouring lines
+from each line onwards, and from each backwards, that has ``Params.words``
+words.  A document is paired with the first holder of each of its hashes, so
+with as many documents as it has lines at most, however many hold the same:
+no pairs are made within a group.
+
+Each pair is aligned by patience diff over the hashes that led to it: hashes
+that are unique in both documents are put into the longest increasing order,
+and the gaps between them are filled with the other common hashes (the k-th
+occurrence meets the k-th; further ones start over).  What that leaves, blocks
+that have moved, is laid out in further increasing orders.  Aligned runs that
+follow one another in both documents make up blocks, and blocks are deleted
+from the later document.  So a document loses every run of neighbouring lines
+of ``Params.words`` words or more that stands in some earlier document (one
+with a smaller id) as neighbouring lines too; and the first holder keeps it.
 
 Lines are compared without the white space at their ends; lines of nothing
 else are never compared nor deleted, and don't part a block.  A null or empty
-text has no lines.  Rows that repeat an id count as one document, which loses
-nothing to itself; rows with a null id take no part.  An empty table stays
-empty.  All columns of the input are kept.
+text has no lines; a very long one is hashed whole.  Rows that repeat an id
+lose nothing to each other, and each row loses what its own text shares; rows
+with a null id take no part.  An empty table stays empty.  All columns of the
+input are kept; one named like an added column is a ValueError.
 """
 
 from __future__ import annotations
@@ -46,18 +39,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessera.llm import text as tx
-from tessera.llm.runtime import map_arrow, materialize
+from tessera.llm.runtime import discard, map_arrow, materialize, version
+from tessera.plans.skew import HOT_KEYS, LEAST_ROWS, join_unique
 
 
 @dataclass(frozen=True)
 class Params:
-    rare: int = 100  #: documents that hold a rare line, at most
-    rare_words: int = 8
-    common_words: int = 40
-
-
-@dataclass(frozen=True)
-class Runs:
     words: int = 8  #: of a block, at least
 
 
@@ -79,26 +66,46 @@ def _lines(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         yield tx.RangeHash(raw)(starts[at], ends[after - 1]), i + doc[at], after - at
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(line, doc, position, nth, alone, words): every line with a word; position counts these lines, nth the line's occurrences in its document."""
+def shortest_runs(line: np.ndarray, d: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first lines, last lines) of the shortest runs of ``least`` words from each line onwards and backwards, in its document."""
+    n = len(line)
+    total = np.concatenate([[0], np.cumsum(words)])
+    onwards = np.searchsorted(total, total[:-1] + least) - 1
+    there = np.flatnonzero((onwards < n) & (d[np.minimum(onwards, n - 1)] == d))
+    backwards = np.searchsorted(total, total[1:] - least, side="right") - 1
+    other = np.flatnonzero((backwards >= 0) & (d[np.maximum(backwards, 0)] == d))
+    other = other[onwards[backwards[other]] != other]
+    a, b = np.concatenate([there, backwards[other]]), np.concatenate([onwards[there], other])
+    h = (b - a).astype(tx.U64)
+    for k in range(int((b - a).max(initial=-1)) + 1):
+        on = np.flatnonzero(a + k <= b)
+        h[on] = tx.mix64(h[on] * tx.U64(0xD6E8FEB86659FD93) + line[a[on] + k])
+    return h, a, b
+
+
+def run_table(docs: DataFrame, params: Params, id_col: str, text_col: str) -> DataFrame:
+    """(run, doc, version, start, stop, nth, alone): the shortest runs of each text; start and stop count its lines with a word, nth the run's occurrences in it."""
 
     def run(batches):
         for batch in batches:
             for line, d, words in _lines(batch):
-                position = np.arange(len(d)) - np.searchsorted(d, d)
-                order = np.lexsort((position, line, d))
-                same = np.zeros(len(d), bool)
-                same[1:] = (line[order][1:] == line[order][:-1]) & (d[order][1:] == d[order][:-1])
-                head = np.flatnonzero(~same)
-                run_of = np.cumsum(~same) - 1
-                nth, alone = np.empty(len(d), np.int32), np.empty(len(d), bool)
-                nth[order] = np.arange(len(d)) - head[run_of]
-                alone[order] = (np.diff(np.append(head, len(d))) == 1)[run_of]
-                columns = [pa.array(line.view(np.int64)), batch.column(0).take(pa.array(d)), pa.array(position, pa.int32()), pa.array(nth), pa.array(alone), pa.array(words.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["line", "doc", "position", "nth", "alone", "words"])
-
-    kept = docs.select(id_col, text_col).filter(F.col(id_col).isNotNull())
-    return map_arrow(kept, run, f"line long, doc {kept.schema[0].dataType.simpleString()}, position int, nth int, alone boolean, words int")
+                h, a, b = shortest_runs(line, d, words, params.words)
+                owner = d[a]
+                order = np.lexsort((a, h, owner))
+                new = np.ones(len(h), bool)
+                new[1:] = (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+                head = np.flatnonzero(new)
+                which = np.cumsum(new) - 1
+                nth, alone = np.empty(len(h), np.int32), np.empty(len(h), bool)
+                nth[order] = np.arange(len(h)) - head[which]
+                alone[order] = (np.diff(np.append(head, len(h))) == 1)[which]
+                zero = np.searchsorted(d, d)[a]
+                row = pa.array(owner)
+                columns = [pa.array(h.view(np.int64)), batch.column(0).take(row), batch.column(2).take(row), pa.array((a - zero).astype(np.int32)), pa.array((b - zero).astype(np.int32)), pa.array(nth), pa.array(alone)]
+                yield pa.RecordBatch.from_arrays(columns, ["run", "doc", "version", "start", "stop", "nth", "alone"])
+
+    kept = docs.select(id_col, text_col, version(text_col)).filter(F.col(id_col).isNotNull())
+    return map_arrow(kept, run, f"run long, doc {kept.schema[0].dataType.simpleString()}, version long, start int, stop int, nth int, alone boolean")
 
 
 def increasing(pairs: list[tuple]) -> list[tuple]:
@@ -121,7 +128,7 @@ def increasing(pairs: list[tuple]) -> list[tuple]:
     return out[::-1]
 
 
-def align(matches: list[tuple]) -> list[tuple]:
+def patience(matches: list[tuple]) -> list[tuple]:
     """Patience alignment of (position, position in the other, unique, ...) matches."""
     matches = sorted(matches)
     anchors = increasing([m for m in matches if m[2]])
@@ -143,93 +150,75 @@ def align(matches: list[tuple]) -> list[tuple]:
     return out
 
 
-def blocks(aligned: list[tuple]) -> list[list[tuple]]:
+def orders(matches: list[tuple]) -> list[list[tuple]]:
+    """All of the sorted matches, dealt to increasing orders: each goes behind the largest end that it follows."""
+    ends: list[int] = []  # descending
     out: list[list[tuple]] = []
-    for m in aligned:
-        if out and m[0] == out[-1][-1][0] + 1 and m[1] == out[-1][-1][1] + 1:
-            out[-1].append(m)
-        else:
+    for m in matches:
+        at = bisect_left(ends, 1 - m[1], key=lambda e: -e)
+        if at == len(ends):
+            ends.append(m[1])
             out.append([m])
+        else:
+            ends[at] = m[1]
+            out[at].append(m)
     return out
 
 
-def doomed(matches: dict, params: Params) -> list[int]:
-    """The positions to delete from a document with these matches: {other: [(position, other's, unique, words, documents)]}."""
-    gone: set[int] = set()
-    for found in matches.values():
-        for block in blocks(align(found)):
-            words = sum(m[3] for m in block)
-            if words >= params.common_words or words >= params.rare_words and min(m[4] for m in block) <= params.rare:
-                gone.update(m[0] for m in block)
-    return sorted(gone)
-
-
-def removals(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, positions): the lines to delete from each document that loses any."""
-    every = materialize(lines(docs, id_col, text_col), "line-hashes")
-    holders = every.groupBy("line").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.count_if(F.expr("nth = 0")).alias("holders"))
-    shared = materialize(holders.filter("owner < last").select("line", "owner", "holders"), "line-owners")
-    at_owner = every.join(shared, "line").filter("doc = owner").select("line", "nth", "owner", "holders", F.col("position").alias("other"), F.col("alone").alias("other_alone")).distinct()
-    at_owner = materialize(at_owner, "line-first-holders")
-    met = every.join(at_owner, ["line", "nth"]).filter("doc > owner")
-    # a document's own lines at most
-    gathered = met.groupBy("doc").agg(F.collect_set(F.struct("owner", "position", "other", (F.col("alone") & F.col("other_alone")).alias("unique"), "words", "holders")).alias("found"))
-
-    def run(batches):
-        for batch in batches:
-            gone = []
-            for found in batch.column(1).to_pylist():
-                by_owner: dict = {}
-                for m in found:
-                    by_owner.setdefault(m["owner"], []).append((m["position"], m["other"], m["unique"], m["words"], m["holders"]))
-                gone.append(doomed(by_owner, params))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], ["doc", "positions"])
-
-    return map_arrow(gathered, run, f"doc {gathered.schema[0].dataType.simpleString()}, positions array<int>").filter("size(positions) > 0")
-
-
-def shortest_runs(line: np.ndarray, d: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, first lines, last lines) of the shortest runs of ``least`` words from each line onwards and backwards, in its document."""
-    n = len(line)
-    total = np.concatenate([[0], np.cumsum(words)])
-    onwards = np.searchsorted(total, total[:-1] + least) - 1
-    there = np.flatnonzero((onwards < n) & (d[np.minimum(onwards, n - 1)] == d))
-    backwards = np.searchsorted(total, total[1:] - least, side="right") - 1
-    other = np.flatnonzero((backwards >= 0) & (d[np.maximum(backwards, 0)] == d))
-    other = other[onwards[backwards[other]] != other]
-    a, b = np.concatenate([there, backwards[other]]), np.concatenate([onwards[there], other])
-    h = (b - a).astype(tx.U64)
-    for k in range(int((b - a).max(initial=-1)) + 1):
-        on = np.flatnonzero(a + k <= b)
-        h[on] = tx.mix64(h[on] * tx.U64(0xD6E8FEB86659FD93) + line[a[on] + k])
-    return h, a, b
+def blocks(matches: list[tuple]) -> list[tuple[int, int, int]]:
+    """(start, stop, other's start) of the blocks that (start, other's start, unique, stop) matches of two documents align to."""
+    longest: dict[tuple[int, int], tuple] = {}
+    for start, other, unique, stop in matches:
+        held = longest.get((start, other), (0, 0, False, 0))
+        longest[start, other] = (start, other, unique or held[2], max(stop, held[3]))
+    matches = sorted(longest.values())
+    aligned = patience(matches)
+    there = set(aligned)
+    out: list[tuple[int, int, int]] = []
+    for order in [aligned, *orders([m for m in matches if m not in there])]:
+        fresh = True
+        for start, other, _, stop in order:
+            if not fresh and start <= out[-1][1] + 1 and start - other == out[-1][0] - out[-1][2]:
+                out[-1] = (out[-1][0], max(out[-1][1], stop), out[-1][2])
+            else:
+                out.append((start, stop, other))
+                fresh = False
+    return out
 
 
-def run_table(docs: DataFrame, params: Runs, id_col: str, text_col: str) -> DataFrame:
-    """(run, doc, version, start, stop): the shortest runs of each text; start and stop count its lines with a word, version is the text's hash."""
+def aligned_blocks(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, version, other, start, stop, other_start): the blocks that each text shares with earlier documents, in lines with a word."""
+    every = materialize(run_table(docs, params, id_col, text_col), "line-runs")
+    shared = every.groupBy("run").agg(F.min("doc").alias("other"), F.max("doc").alias("last"), F.count("*").alias("rows")).filter("other < last")
+    shared = materialize(shared.select("run", "other", "rows"), "line-first-holders")
+    # a run that a good part of all documents hold meets its first holder by broadcast
+    bound = max(LEAST_ROWS, (shared.agg(F.sum("rows")).first()[0] or 0) // HOT_KEYS)
+    hot = [r["run"] for r in shared.filter(F.col("rows") > bound).select("run").collect()]
+    met = materialize(join_unique(every, shared.drop("rows"), "run", hot=hot), "line-holders")
+    first = met.filter("doc = other").groupBy("run", "nth").agg(F.min("start").alias("other_start"))
+    times = first.groupBy("run").agg(F.count("*").cast("int").alias("times"))
+    later = join_unique(met.filter("doc > other"), times, "run", hot=hot)
+    later = later.withColumn("k", F.expr("nth % times")).withColumn("place", F.xxhash64("run", "k"))
+    later = materialize(later.withColumnRenamed("run", "own_run"), "line-later-holders")
+    placed = join_unique(later, first.withColumn("place", F.xxhash64("run", "nth")).drop("nth"), "place").filter("own_run = run")
+    # a text's own runs at most
+    pairs = placed.groupBy("doc", "version", "other").agg(F.collect_set(F.struct("start", "other_start", (F.col("alone") & (F.col("times") == 1)).alias("unique"), "stop")).alias("found"))
 
     def run(batches):
         for batch in batches:
-            for line, d, words in _lines(batch):
-                h, a, b = shortest_runs(line, d, words, params.words)
-                zero = np.searchsorted(d, d)[a]
-                row = pa.array(d[a])
-                columns = [pa.array(h.view(np.int64)), batch.column(0).take(row), batch.column(2).take(row), pa.array((a - zero).astype(np.int32)), pa.array((b - zero).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["run", "doc", "version", "start", "stop"])
-
-    kept = docs.select(id_col, text_col, F.xxhash64(text_col)).filter(F.col(id_col).isNotNull())
-    return map_arrow(kept, run, f"run long, doc {kept.schema[0].dataType.simpleString()}, version long, start int, stop int")
-
-
-def held_before(docs: DataFrame, params: Runs = Runs(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, version, positions): the lines of each text that are in a block of an earlier document."""
-    every = materialize(run_table(docs, params, id_col, text_col), "line-runs")
-    owners = every.groupBy("run").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"))
-    shared = materialize(owners.filter("owner < last").select("run", "owner"), "line-run-owners")
-    met = every.join(shared, "run").filter("doc > owner")
-    # a text's own runs at most
-    found = met.groupBy("doc", "version").agg(F.collect_set(F.struct("start", "stop")).alias("found"))
-    return found.select("doc", "version", F.expr("array_sort(array_distinct(flatten(transform(found, r -> sequence(r.start, r.stop)))))").alias("positions"))
+            which, found = [], []
+            for i, matches in enumerate(batch.column(3).to_pylist()):
+                for block in blocks([(m["start"], m["other_start"], m["unique"], m["stop"]) for m in matches]):
+                    which.append(i)
+                    found.append(block)
+            at = pa.array(which, pa.int64())
+            columns = [pa.array([f[c] for f in found], pa.int32()) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), *columns], ["doc", "version", "other", "start", "stop", "other_start"])
+
+    kind = pairs.schema[0].dataType.simpleString()
+    out = materialize(map_arrow(pairs, run, f"doc {kind}, version long, other {kind}, start int, stop int, other_start int"), "line-blocks")
+    discard(every, shared, met, later)
+    return out
 
 
 def without_lines(text: str, positions: list[int]) -> str:
@@ -245,17 +234,16 @@ def without_lines(text: str, positions: list[int]) -> str:
     return "\n".join(kept)
 
 
-def dedup_lines(docs: DataFrame, params: Params | Runs = Runs(), id_col: str = "doc_id", text_col: str = "text", added: str = "lines_removed") -> DataFrame:
+def dedup_lines(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", added: str = "lines_removed") -> DataFrame:
     """All rows and columns, the texts without the deleted blocks; ``added``: how many lines a text has lost."""
-    same_text = F.col(id_col) == F.col("__doc")
-    if isinstance(params, Runs):
-        gone = held_before(docs, params, id_col, text_col).withColumnRenamed("version", "__version")
-        same_text &= F.xxhash64(text_col) == F.col("__version")
-    else:
-        gone = removals(docs, params, id_col, text_col)
-    gone = materialize(gone, "line-removals").withColumnsRenamed({"doc": "__doc", "positions": "__positions"})
+    if taken := {added, "__doc", "__version", "__positions"}.intersection(docs.columns):
+        raise ValueError(f"the input has a column {sorted(taken)[0]} already")
+    found = aligned_blocks(docs, params, id_col, text_col).groupBy("doc", "version").agg(F.collect_set(F.struct("start", "stop")).alias("found"))
+    lost = F.expr("array_sort(array_distinct(flatten(transform(found, r -> sequence(r.start, r.stop)))))")
+    gone = found.select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), lost.alias("__positions"))
     # deletions grow with the texts, so they are never broadcast: texts are dealt once
-    joined = docs.join(gone.hint("merge"), same_text, "left").select(*docs.columns, "__positions")
+    same = (F.col(id_col) == F.col("__doc")) & (version(text_col) == F.col("__version"))
+    joined = docs.join(gone.hint("merge"), same, "left").select(*docs.columns, "__positions")
 
     at, names = docs.columns.index(text_col), [*docs.columns, added]
 
@@ -273,3 +261,37 @@ def dedup_lines(docs: DataFrame, params: Params | Runs = Runs(), id_col: str = "
 
     kinds = StructType([StructField(f.name, f.dataType) for f in docs.schema.fields] + [StructField(added, IntegerType())])
     return map_arrow(joined, cut, kinds)
+
+
+#: What ``op5_line_dedup`` gives for a table ``documents`` of unique ids, in DuckDB: runs are compared as text, without hashes or alignment.
+LINES_SQL = r"""
+WITH parts AS (
+    SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL
+), lines AS (
+    SELECT doc_id, k, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+           len(regexp_extract_all(line, '[^ 	-
+]+')) AS words FROM parts
+), worded AS (
+    SELECT doc_id, k, bare, words, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS p,
+           sum(words) OVER (PARTITION BY doc_id ORDER BY k) AS upto
+    FROM lines WHERE words > 0 AND doc_id IS NOT NULL
+), runs AS (
+    SELECT x.doc_id, x.p AS a, y.p AS b
+    FROM worded x JOIN worded y ON x.doc_id = y.doc_id AND y.p BETWEEN x.p AND x.p + 7
+    WHERE y.upto - x.upto + x.words >= 8 AND (y.upto - y.words - x.upto + x.words < 8 OR y.upto - x.upto < 8)
+), held AS (
+    SELECT r.doc_id, r.a, r.b, string_agg(w.bare, chr(10) ORDER BY w.p) AS held
+    FROM runs r JOIN worded w ON w.doc_id = r.doc_id AND w.p BETWEEN r.a AND r.b GROUP BY ALL
+), later AS (
+    SELECT doc_id, a, b FROM (SELECT *, min(doc_id) OVER (PARTITION BY held) AS first FROM held) WHERE first < doc_id
+), gone AS (
+    SELECT DISTINCT w.doc_id, w.k FROM later l JOIN worded w ON w.doc_id = l.doc_id AND w.p BETWEEN l.a AND l.b
+), kept AS (
+    SELECT p.doc_id, string_agg(p.line, chr(10) ORDER BY p.k) FILTER (g.k IS NULL) AS left_text, count(g.k) AS n
+    FROM parts p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.k = g.k GROUP BY p.doc_id
+)
+SELECT d.doc_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_lines_removed,
+       CAST(length(coalesce(d.text, '')) - length(coalesce(k.left_text, '')) AS BIGINT) AS n_chars_removed,
+       sha256(coalesce(k.left_text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""

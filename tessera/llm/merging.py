@@ -50,9 +50,14 @@ class RowMerger:
     def __init__(self, pairs: np.ndarray, ranks: np.ndarray, made: np.ndarray):
         """pairs: left << 32 | right; a lower rank merges first, and of equal ranks the leftmost."""
         self._index = IntMap(pairs, np.arange(len(pairs)))
+        self._pairs = pairs
         self._rank = np.append(np.asarray(ranks, np.int32), NEVER)  # index -1: no such pair
         self._made = np.append(np.asarray(made, np.int32), -1)
 
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        """(rank, made) of each pair."""
+        return dict(zip(self._pairs.tolist(), zip(self._rank.tolist(), self._made.tolist())))
+
     def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = self._index.get(left.astype(np.int64) << 32 | right.astype(np.int64))
         return self._rank[at], self._made[at]

@@ -80,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat": chat.ROTATE_SQL}
+    return {"op3_decontamination": decontam.OVERLAPS_SQL, "op5_line_dedup": linededup.LINES_SQL, "op8_near_duplicates": minmax.COMPONENTS_SQL, "op9_chat": chat.ROTATE_SQL}

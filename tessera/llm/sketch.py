@@ -12,7 +12,10 @@ the other cells.  If peeling gets stuck, both tables are made again, larger.
 Many pairs are subtracted and peeled side by side in NumPy.
 
 A null text is an empty one.  An empty text has no paragraphs; two of them are
-alike (1.0).  Paragraphs count once, however often a text repeats them.
+alike (1.0).  Paragraphs count once, however often a text repeats them.  Texts
+of any length are read whole.  Rows that repeat an id, or have none, are rows
+like others: next to each other, ordered by their texts' hashes, null ids
+last.  An empty table gives no rows.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import text as tx
@@ -59,10 +63,9 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray, params: Params) -> tuple[n
 
 
 def _places(digests: np.ndarray, cells: int) -> np.ndarray:
-    """(3, n): a cell in each part of the table."""
+    """(3, n): a cell in each part of the table, each by a hash of its own."""
     part = cells // 3
-    h = tx.mix64(digests ^ tx.U64(0xA5A5A5A5F00DBEEF))
-    return np.array([(h >> tx.U64(21 * i) & tx.U64(0x1FFFFF)).astype(np.int64) % part + i * part for i in range(3)])
+    return np.array([(tx.mix64(digests ^ tx.U64(0xA5A5A5A5F00DBEEF * (i + 1) % (1 << 64))) % tx.U64(part)).astype(np.int64) + i * part for i in range(3)])
 
 
 def _checks(digests: np.ndarray) -> np.ndarray:
@@ -132,23 +135,24 @@ def _owners(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return owner, at
 
 
-def differences(a, b, params: Params = Params()) -> tuple[np.ndarray, np.ndarray]:
-    """(only in the first, only in the second): how many digests, for each pair of rows of a and b, which are (digests, first, rows)."""
+def differences(a, b, params: Params = Params()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, digest, sign) of every digest that only one of two rows has, 1 where it is the first's, by pair; a and b are (digests, first, rows)."""
     (da, fa, ra), (db, fb, rb) = a, b
-    only_a, only_b = np.zeros(len(ra), np.int64), np.zeros(len(ra), np.int64)
     todo, cells = np.arange(len(ra)), params.cells
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, tx.U64), np.zeros(0, np.int64))]
     while len(todo):
         tables = Tables(len(todo), cells)
         owner, at = _owners(fa, ra[todo])
         tables.add(owner, da[at])
         owner, at = _owners(fb, rb[todo])
         tables.add(owner, db[at], -1)
-        owner, _, sign, done = tables.peel()
-        plus = np.bincount(owner[sign > 0], minlength=len(todo))
-        minus = np.bincount(owner[sign < 0], minlength=len(todo))
-        only_a[todo[done]], only_b[todo[done]] = plus[done], minus[done]
+        owner, digest, sign, done = tables.peel()
+        whole = done[owner]
+        found.append((todo[owner[whole]], digest[whole], sign[whole]))
         todo, cells = todo[~done], cells * params.growth
-    return only_a, only_b
+    pair, digest, sign = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(pair, kind="stable")
+    return pair[order], digest[order], sign[order]
 
 
 def likeness(size_a: np.ndarray, size_b: np.ndarray, only_a: np.ndarray, only_b: np.ndarray) -> np.ndarray:
@@ -179,34 +183,84 @@ def fingerprint(docs: DataFrame, params: Params = Params(), id_col: str = "doc_i
     return map_arrow(kept, run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, n_paragraphs long, fingerprint string")
 
 
+def recovered(old: DataFrame, new: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, removed, added): the digests of the paragraphs that only the old, and only the new, version of a document has; null versions are empty."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            (xa, fa), (xb, fb) = (paragraphs(*tx.flat(batch.column(c)), params) for c in (1, 2))
+            pair, digest, sign = differences((xa, fa, np.arange(n)), (xb, fb, np.arange(n)), params)
+            columns = []
+            for side in (1, -1):
+                ends = np.searchsorted(pair[sign == side], np.arange(n + 1))
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(digest[sign == side].view(np.int64))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "removed", "added"])
+
+    both = old.select(id_col, F.col(text_col).alias("old")).join(new.select(id_col, F.col(text_col).alias("new")), id_col)
+    return map_arrow(both, run, f"`{id_col}` {both.schema[0].dataType.simpleString()}, removed array<long>, added array<long>")
+
+
+#: Bytes of text that one range of ids holds, about.
+RANGE_BYTES = 32 << 20
+
+
+@dataclass(frozen=True)
+class Ranges:
+    """Ranges of descending ids, a number for each; an id with more rows than a range is split by its texts' hashes."""
+
+    above: list[int]  #: ascending; a range ends behind each of these ids
+    splits: list[int]  #: numbers of a range, by ascending ids; the last entry is for null ids
+
+    def number(self, ids: np.ndarray, null: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        splits = np.array(self.splits, np.int64)
+        segment = np.where(null, len(splits) - 1, np.searchsorted(np.array(self.above, np.int64), ids, side="left"))
+        last = splits[:-1]
+        offset = np.append(last.sum() - np.cumsum(last), last.sum())
+        return offset[segment] + ((tie >> 31) * splits[segment] >> 32)
+
+
+def ranges(keys: DataFrame, bytes_: Column, least: int) -> Ranges:
+    """Ranges of about RANGE_BYTES for (id) rows, ``least`` of them at least."""
+    size = keys.agg(F.count("*").alias("rows"), F.sum(bytes_).alias("bytes"), F.count_if(F.col("id").isNull()).alias("none")).first()
+    n = max(least, -(-(size["bytes"] or 0) // RANGE_BYTES))
+    each = max(1, size["rows"] // n)
+    cuts = keys.select(F.percentile_approx("id", [i / n for i in range(1, n)], 10_000)).first()[0] or [] if n > 1 else []
+    # fewer than n / 2 ids
+    many = {r["id"]: -(-r["rows"] // each) for r in keys.filter("id is not null").groupBy("id").agg(F.count("*").alias("rows")).filter(F.col("rows") > 2 * each).collect()}
+    above = sorted({*cuts, *many, *(i - 1 for i in many)})
+    splits = [many.get(i, 1) for i in above] + [1, max(1, -(-size["none"] // each))]
+    return Ranges(above, splits)
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, text, halo), dealt and sorted so that each row is followed by the next in descending id.
+    """Rows (id, text, part, halo), dealt and sorted so that each row is followed by the next in descending id.
 
-    Ids are cut into ranges; a range's last row is followed by a copy of the
-    next range's first, marked halo, and the very last by a copy of the very
-    first.  Nulls come last; equal ids are ordered by text.  Only the ranges'
-    first ids meet at the driver, one for each range.
+    Ids are cut into ranges by bytes, each of them one partition; a range's
+    last row is followed by a copy of the next range's first, marked halo, and
+    the very last by a copy of the very first.  Only the ranges' first keys
+    meet at the driver.
     """
     spark = docs.sparkSession
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    cuts = [f for f in (kept.select(F.percentile_approx("id", [i / n for i in range(1, n)], 10_000)).first()[0] or [])] if n > 1 else []
-    cuts = sorted(set(cuts))
-    # range 0 has the largest ids; null ids follow the smallest
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    rank = F.when(F.col("id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - F.aggregate(bounds, F.lit(0), lambda a, c: a + (F.col("id") > c).cast("int")))
-    ranged = kept.withColumn("part", rank)
-    tops = {r["part"]: r["top"] for r in ranged.groupBy("part").agg(F.max("id").alias("top")).collect()}
-    order = sorted(tops)
-    if not order:
-        return ranged.withColumn("halo", F.lit(False))
-    before = {p: order[i - 1] for i, p in enumerate(order)}  # of the first range: the last
-    previous = F.create_map(*[F.lit(x) for p in order for x in (p, before[p])])
-    top = F.create_map(*[x for p in order for x in (F.lit(p), F.lit(tops[p]).cast("long"))])
-    is_top = F.col("id").eqNullSafe(top[F.col("part")])
-    copies = F.when(is_top, F.array(F.struct(F.col("part"), F.lit(False).alias("halo")), F.struct(previous[F.col("part")].alias("part"), F.lit(True).alias("halo")))).otherwise(F.array(F.struct(F.col("part"), F.lit(False).alias("halo"))))
-    dealt = ranged.select("id", "text", F.explode(copies).alias("to")).select("id", "text", "to.part", "to.halo")
-    return dealt.repartition(n, "part").sortWithinPartitions("part", "halo", F.col("id").desc_nulls_last(), "text")
+    cut = ranges(kept, F.octet_length("text"), 2 * spark.sparkContext.defaultParallelism)
+
+    @F.pandas_udf("int")
+    def number(ids: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series(cut.number(ids.fillna(0).to_numpy(np.int64), ids.isna().to_numpy(), tie.to_numpy(np.int64)))
+
+    # equal ids are ordered by their texts' hashes, which are not negative here
+    keyed = kept.withColumn("tie", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    ranged = keyed.withColumn("part", number("id", "tie"))
+    top = F.max(F.struct("id", (-F.col("tie")).alias("tie"))).alias("top")
+    tops = ranged.groupBy("part").agg(top).select("part", "top.id", (-F.col("top.tie")).alias("tie")).orderBy("part").collect()
+    if not tops:
+        return kept.select("id", "text", F.lit(0).alias("part"), F.lit(False).alias("halo"))
+    before = [(t["part"], tops[i - 1]["part"], t["id"], t["tie"]) for i, t in enumerate(tops)]  # of the first range: the last
+    firsts = F.broadcast(spark.createDataFrame(before, "top_part int, previous int, top_id long, top_tie long"))
+    copies = keyed.join(firsts, F.expr("id <=> top_id and tie = top_tie")).groupBy("previous", "id", "tie").agg(F.min("text").alias("text"))
+    dealt = ranged.select("id", "text", "tie", "part", F.lit(False).alias("halo")).unionByName(copies.select("id", "text", "tie", F.col("previous").alias("part"), F.lit(True).alias("halo")))
+    return dealt.repartitionById(sum(cut.splits), "part").sortWithinPartitions("part", "halo", F.col("id").desc_nulls_last(), "tie", "text").select("id", "text", "part", "halo")
 
 
 def edited(text: str, following: str) -> str:
@@ -233,7 +287,8 @@ def compare_with_edits(docs: DataFrame, params: Params = Params(), id_col: str =
         size = np.diff(first)
         near = []
         for r, r_rows in (("edit", other), ("next", after)):
-            a, b = differences(rows["own"], rows[r], params)
+            pair, _, sign = differences(rows["own"], rows[r], params)
+            a, b = (np.bincount(pair[sign == side], minlength=n) for side in (1, -1))
             near.append(likeness(size[own], size[r_rows], a, b))
         prints = _fingerprints(digests[: first[2 * n]], first[: 2 * n + 1], params)
         arrays = [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw[n : 2 * n]]), pa.array(prints[:n], pa.string()), pa.array(prints[n:], pa.string()), pa.array(near[0]), pa.array(near[1])]

@@ -2,29 +2,38 @@
 
 A text's pieces never cross the start of a run of word marks (U+2581): no
 vocabulary entry does.  So a count is a sum over pre-tokens, which are the
-space-separated chunks of a text.  Each block of documents makes its table of distinct
-pre-tokens; the pieces of each are counted once and remembered by the worker;
-the counts are joined to the documents' pre-token frequencies and summed.
-
-The join is local to a block on purpose: shuffling (document, pre-token) rows
-to a global dictionary would move more bytes than the texts have.
-
-Null and empty texts hold no bytes and no tokens; texts of any length and
-repeated rows are counted whole; extra columns are not read.
+space-separated chunks of a text.
+
+The distinct pre-tokens of the whole table are gathered first, with the number
+of blocks of documents that hold them, and the pieces of each are counted once:
+by merging, without ids.  Then the counts are joined to the documents'
+pre-token frequencies and summed.  The join goes by frequency: the ``hot``
+pre-tokens that the most blocks hold are broadcast and summed where the texts
+are; of the others, which are few in a text, (document, pre-token, frequency)
+rows meet their counts by shuffle.  So the broadcast is bounded, what is
+shuffled is the tail, and a pre-token that every document holds is in no
+task's way.
+
+Null and empty texts hold no bytes and no tokens; texts and pre-tokens of any
+length are counted whole; rows that repeat an id are counted by their own
+texts; null ids are ids like others; an empty table gives no rows; extra
+columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
-from operator import mul
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm.merging import RowMerger
-from tessera.llm.runtime import map_arrow
+from tessera.llm.runtime import discard, map_arrow, materialize, version
+from tessera.plans.skew import HOT_KEYS, LEAST_ROWS, join_unique
 
 MARK = "▁"
 
@@ -32,11 +41,7 @@ MARK = "▁"
 class PieceCounter:
     """Counts of a SentencePiece BPE model with the identity normalizer."""
 
-    #: Pre-tokens whose count a worker remembers before it starts over.
-    REMEMBERED = 300_000
-
     def __init__(self, path: str):
-        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -53,9 +58,7 @@ class PieceCounter:
             raise ValueError("user-defined pieces aren't supported")
         self._cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self._merger, self._symbol, self._weight = self._tables(model, pb)
-        model.normalizer_spec.add_dummy_prefix = False
-        self._model = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-        self._known: dict[str, int] = {}
+        self._pairs = self._merger.pairs()
 
     @staticmethod
     def _tables(model, pb) -> tuple[RowMerger, dict[str, int], np.ndarray]:
@@ -72,7 +75,7 @@ class PieceCounter:
         return RowMerger(a << 32 | b, rank, made), {p: i for p, i in number.items() if len(p) == 1}, weight
 
     #: Characters of a pre-token up to which it is merged together with others.
-    SHORT = 32
+    SHORT = 64
 
     def _count_short(self, pretokens: list[str]) -> list[int]:
         """Pieces of each pre-token, without its ids."""
@@ -87,6 +90,29 @@ class PieceCounter:
         ends = np.cumsum(counts)
         return (total[ends] - total[ends - counts]).tolist()
 
+    def _count_long(self, pretoken: str) -> int:
+        """Pieces of one long pre-token, by a heap of its pairs: the best score first, then the leftmost."""
+        unknown = len(self._weight) - 5
+        symbols = [self._symbol.get(c, unknown + len(c.encode())) for c in pretoken]
+        n, pairs = len(symbols), self._pairs
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(m[0], i, m[1], symbols[i], symbols[i + 1]) for i in range(n - 1) if (m := pairs.get(symbols[i] << 32 | symbols[i + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, made, x, y = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] != x or j >= n or symbols[j] != y:
+                continue
+            symbols[i], symbols[j] = made, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if m := pairs.get(made << 32 | symbols[k]):
+                    heapq.heappush(heap, (m[0], i, m[1], made, symbols[k]))
+            if (p := before[i]) >= 0 and (m := pairs.get(symbols[p] << 32 | made)):
+                heapq.heappush(heap, (m[0], p, m[1], symbols[p], made))
+        return int(sum(self._weight[s] for s in symbols if s >= 0))
+
     def frequencies(self, text: str) -> Counter:
         """How often each pre-token stands in the text.
 
@@ -100,25 +126,24 @@ class PieceCounter:
         found = self._cut.findall(self.prefix + text.replace(" ", MARK))
         return Counter(p[1:] if p[0] == MARK and len(p) > 1 and p[1] != MARK else MARK + p for p in found)
 
-    def forget(self) -> None:
-        """Drop what is remembered: an idle worker shouldn't hold it."""
-        self._known.clear()
+    def pieces(self, pretokens: list[str]) -> list[int]:
+        """How many pieces each pre-token, as ``frequencies`` writes it, is cut into."""
+        spelled = [p[1:] if p[0] == MARK else MARK + p for p in pretokens]
+        short = [i for i, p in enumerate(spelled) if len(p) <= self.SHORT]
+        out = [0] * len(spelled)
+        for i, n in zip(short, self._count_short([spelled[i] for i in short]) if short else [], strict=True):
+            out[i] = n
+        for i, p in enumerate(spelled):
+            if len(p) > self.SHORT:
+                out[i] = self._count_long(p)
+        return out
 
     def count(self, texts: list[str]) -> list[int]:
+        """Tokens of each of a few texts."""
         block = [self.frequencies(t) for t in texts]
-        known = self._known
-        new = set().union(*block).difference(known)
-        if len(known) + len(new) > self.REMEMBERED:
-            known.clear()
-            new = set().union(*block)
-        short, long = [], []
-        for p in new:
-            (short if len(p) < self.SHORT else long).append(p)
-        spelled = [p[1:] if p[0] == MARK else MARK + p for p in short]
-        known.update(zip(short, self._count_short(spelled), strict=True) if short else ())
-        spelled = [p[1:] if p[0] == MARK else MARK + p for p in long]
-        known.update(zip(long, map(len, self._model.encode(spelled, num_threads=1)), strict=True))
-        return [sum(map(mul, map(known.__getitem__, freq), freq.values())) for freq in block]
+        distinct = list(set().union(*block))
+        known = dict(zip(distinct, self.pieces(distinct), strict=True))
+        return [sum(known[p] * n for p, n in freq.items()) for freq in block]
 
 
 _loaded: dict[str, PieceCounter] = {}
@@ -130,18 +155,77 @@ def load(path: str) -> PieceCounter:
     return _loaded[path]
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit) of every whole text; over_limit: more than ``limit`` tokens."""
-    from tessera.llm.bpe import _text_groups
+#: Characters of the texts that make up a block.
+BLOCK = 4 << 20
+
+
+def pretokens(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """(pretoken, blocks): the distinct pre-tokens of all texts, and about how many blocks of documents hold each."""
+
+    def run(batches):
+        counter = load(path)
+        held, size = set(), 0
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                held.update(counter.frequencies(t or ""))
+                size += len(t or "")
+                if size >= BLOCK:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], ["pretoken"])
+                    held, size = set(), 0
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], ["pretoken"])
+
+    return map_arrow(docs.select(text_col), run, "pretoken string").groupBy("pretoken").agg(F.count("*").alias("blocks"))
+
+
+def piece_counts(distinct: DataFrame, path: str) -> DataFrame:
+    """(pretoken, blocks, pieces): each distinct pre-token counted once."""
 
     def run(batches):
         counter = load(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            tokens = [n for i, j in _text_groups(texts, 2 << 20) for n in counter.count(texts[i:j])]
-            columns = [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "n_bytes", "n_tokens", "over_limit"])
-        counter.forget()
-
-    kept = docs.select(id_col, text_col)
-    return map_arrow(kept, run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counter.pieces(batch.column(0).to_pylist()), pa.int32())], ["pretoken", "blocks", "pieces"])
+
+    return map_arrow(distinct, run, "pretoken string, blocks long, pieces int")
+
+
+#: Pre-tokens whose counts are broadcast, those longer than HOT_LENGTH never: 20 MB at most.
+HOT, HOT_LENGTH = 200_000, 32
+
+
+def count_tokens(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """(id, n_bytes, n_tokens, over_limit) of every whole text; over_limit: more than ``limit`` tokens."""
+    spark = docs.sparkSession
+    counts = materialize(piece_counts(pretokens(docs, path, text_col), path), "tokens-pretokens")
+    most = counts.filter(F.length("pretoken") <= HOT_LENGTH).orderBy(F.desc("blocks"), "pretoken").limit(hot).select("pretoken", "pieces").toArrow()
+    common = spark.sparkContext.broadcast(dict(zip(most.column("pretoken").to_pylist(), most.column("pieces").to_pylist(), strict=True)))
+
+    def run(batches):
+        counter, known = load(path), common.value
+        for batch in batches:
+            sums, sizes, ends, tail, times = [], [], [0], [], []
+            for t in batch.column(1).to_pylist():
+                freq = counter.frequencies(t or "")
+                rest = freq.keys() - known.keys()
+                tail += rest
+                times += [freq.pop(p) for p in rest]
+                sums.append(sum(known[p] * n for p, n in freq.items()))
+                sizes.append(len((t or "").encode()))
+                ends.append(len(tail))
+            rare = pa.StructArray.from_arrays([pa.array(tail, pa.string()), pa.array(times, pa.int32())], ["pretoken", "times"])
+            columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "version", "n_bytes", "common", "rare"])
+
+    kept = docs.select(F.col(id_col).alias("id"), text_col, version(text_col).alias("version"))
+    kind = kept.schema[0].dataType.simpleString()
+    rows = materialize(map_arrow(kept, run, f"id {kind}, version long, n_bytes long, common long, rare array<struct<pretoken string, times int>>"), "tokens-frequencies")
+    # rows of one id and text have the same tail: it is summed once
+    tails = rows.filter("size(rare) > 0").select("id", "version", F.explode("rare").alias("r")).select("id", "version", "r.pretoken", "r.times").distinct()
+    # a long pre-token that very many blocks hold is broadcast too
+    odd = F.length("pretoken").between(HOT_LENGTH + 1, 1024) & (F.col("blocks") > LEAST_ROWS)
+    frequent = [r["pretoken"] for r in counts.filter(odd).orderBy(F.desc("blocks"), "pretoken").limit(HOT_KEYS).select("pretoken").collect()]
+    summed = join_unique(tails, counts.select("pretoken", "pieces"), "pretoken", hot=frequent).groupBy("id", "version").agg(F.sum(F.col("pieces").cast("long") * F.col("times")).alias("tail"))
+    summed = materialize(summed.withColumnsRenamed({"id": "i", "version": "v"}), "tokens-tails")
+    out = rows.select("id", "version", "n_bytes", "common").join(summed, F.expr("id <=> i and version = v"), "left")
+    n = F.col("common") + F.coalesce("tail", F.lit(0))
+    discard(counts)
+    return out.select(F.col("id").alias(id_col), "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))

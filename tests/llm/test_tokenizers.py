@@ -54,10 +54,20 @@ def test_speculation_is_verified(libraries):
     assert codec.stats["words"] > before["words"]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["the", "zq", "international", "isation", "a", "ü", "漢字", "=====", "0"]), min_size=20, max_size=80).map("".join))
+def test_long_words_are_proposed_and_verified_too(libraries, word):
+    hf, codec, sp, counter = libraries
+    raw = word.encode()
+    assert b"".join(codec.token_bytes[t] for t in codec.propose_long(raw)) == raw
+    assert codec.propose_long(raw).tolist() == codec.propose([raw])[0].tolist()
+    assert codec.encode(word) == hf.encode(word, add_special_tokens=False).ids
+    assert counter.count([word]) == [len(sp.encode(word))]
+
+
 def test_caches_start_over(libraries, monkeypatch):
     hf, codec, sp, counter = libraries
     monkeypatch.setattr(bpe.SpeculativeBPE, "REMEMBERED", 4)
-    monkeypatch.setattr(tokencount.PieceCounter, "REMEMBERED", 4)
     for text in ("one two three four five six", "seven eight nine one two"):
         assert codec.encode(text) == hf.encode(text).ids
         assert counter.count([text]) == [len(sp.encode(text))]
