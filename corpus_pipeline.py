@@ -2,8 +2,15 @@
 
 Every stage takes the documents that its predecessor kept, with all columns of
 ``documents``; the last one encodes them.  A text that a stage changes gets
-its ``n_chars`` anew.  Rows with a null doc_id are never dropped by the stages
-that drop by id.
+its ``n_chars`` anew.
+
+Stages drop rows, not ids: where an id repeats with different texts, only the
+rows whose own text is rejected go, and of rows that repeat an id and a text
+one stays in its group of near-duplicates.  A null doc_id is an id like others
+except to line_dedup, which neither changes nor drops its rows.  A null or
+empty text is scored like any text, is in no group and holds no benchmark
+passage; a very long one is read whole by every stage.  Columns beyond those
+of ``documents`` are kept up to the last stage.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontam, linededup, minmax, quality
 from tessera.llm.queries import read, tokenizer_path
-from tessera.llm.runtime import drop_ids, fold, materialize
+from tessera.llm.runtime import fold, materialize
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +39,12 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates (five-word shingles, similarity 0.8)."""
-    found = materialize(minmax.near_duplicates(docs, minmax.Params()).filter("not kept").select("doc_id"), "pipeline-duplicates")
-    return drop_ids(docs, found, "doc_id")
+    """The row with the smallest id of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    return minmax.one_of_each_group(docs, minmax.Params())
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap no benchmark item."""
+    """Rows whose text overlaps no benchmark item."""
     return decontam.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
@@ -56,7 +62,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", encoded),
 ]
 
-#: Learned scores and hashed bands have no SQL: the stages are tested one by one instead.
+#: Learned scores have no SQL: tests/llm compares the rows with a brute-force version of all stages.
 ORACLE_SQL: str | None = None
 
 
