@@ -87,10 +87,10 @@ def ray(theta: Column, phi: Column, depth: Column) -> tuple[Column, Column, Colu
 
 def angles(x: Column, y: Column, z: Column) -> tuple[Column, Column]:
     """(theta, phi) of a direction with x > 0; null where sin(theta) is 0."""
-    n = F.sqrt(x * x + y * y + z * z)
+    n = F.nullif(F.sqrt(x * x + y * y + z * z), F.lit(0.0))
     theta = F.acos(z / n)
     s = F.sin(theta)
-    return theta, F.when(s > 0, F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), y / n / s))))
+    return theta, F.when(s > 0, F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), y / n / F.nullif(s, F.lit(0.0))))))
 
 
 def angular_disparity(depth: Column, theta: Column, base: float) -> Column:

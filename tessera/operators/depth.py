@@ -46,27 +46,10 @@ def _against(reference: DataFrame, candidates: DataFrame) -> DataFrame:
     return ref.join(candidates.filter("frame <> 0").select("y", "x", "frame", "depth"), ["y", "x"], "left")
 
 
-def fuse_visibility(candidates: DataFrame, epsilon: float = 0.05) -> DataFrame:
-    """(y, x, depth, conf): the smallest candidate that more candidates occlude than contradict.
-
-    Candidates are ranked by depth; ``rank`` many lie in front of one.  A
-    candidate is contradicted by those more than epsilon behind it, in shares
-    of the pixel's candidates; conf is the share within epsilon.
-    """
-    # a pixel has a candidate for each frame at most: they are one group
-    each = candidates.groupBy("y", "x").agg(F.array_sort(F.collect_list(F.struct("depth", "frame"))).alias("c")).select("y", "x", "c", F.posexplode("c").alias("front", "own"))
-    near = lambda test: F.size(F.filter("c", test))
-    own = F.col("own.depth")
-    scored = each.select("y", "x", own.alias("depth"), F.col("own.frame").alias("frame"), "front", F.size("c").alias("all"), near(lambda o: F.abs(o["depth"] - own) <= epsilon).alias("support"), near(lambda o: o["depth"] > own + epsilon).alias("violations"))
-    good = scored.filter(F.col("front") + F.col("support") - F.col("violations") > 0)
-    best = good.groupBy("y", "x").agg(F.min_by(F.struct("depth", (F.col("support") / F.col("all")).alias("conf")), F.struct("depth", "frame")).alias("b"))
-    return best.select("y", "x", "b.depth", "b.conf")
-
-
 def fuse_simple(reference: DataFrame, candidates: DataFrame, share: float = 0.9, least: int = 1, scale: float = 0.01 / 6.25) -> DataFrame:
     """(y, x, depth, support, seen): depths that nearly all frames that see the pixel support, within scale * depth^2."""
     met = _against(reference, candidates)
-    votes = met.groupBy("y", "x").agg(F.first("ref").alias("depth"), F.count_if(F.abs(F.col("depth") - F.col("ref")) <= scale * F.col("ref") * F.col("ref")).alias("support"), F.count("depth").alias("seen"))
+    votes = met.groupBy("y", "x").agg(F.first("ref").alias("depth"), F.count_if(F.abs(F.col("depth") - F.col("ref")) < scale * F.col("ref") * F.col("ref")).alias("support"), F.count("depth").alias("seen"))
     return votes.filter(((F.col("support") + 1) / (F.col("seen") + 1) > share) & (F.col("support") >= least))
 
 
@@ -77,13 +60,6 @@ def _disparity_votes(reference: DataFrame, candidates: DataFrame, base: float, s
     return met.groupBy("y", "x").agg(F.first("ref").alias("depth"), F.count_if(F.abs(apart) <= step).alias("support"), F.count_if(apart < -step).alias("violations"), F.count_if(apart > step).alias("occlusions"), F.count("depth").alias("seen"))
 
 
-def fuse_disparity(reference: DataFrame, candidates: DataFrame, frames: int, threshold: float = 0.1, base: float = 1.0, columns: int = 64, edge: int = 4, least: int = 4) -> DataFrame:
-    """Depths with more supporting than occluding and contradicting views, as a share of 2 (frames - 1) tests."""
-    v = _disparity_votes(reference, candidates, base, g.PI / columns)
-    score = (F.col("support") - F.col("occlusions") - F.col("violations")) / (2.0 * (frames - 1))
-    return v.filter((score > threshold) & (F.col("support") >= least) & F.col("x").between(edge, columns - 1 - edge)).select("y", "x", "depth", "support")
-
-
 def fuse_reference_support(reference: DataFrame, candidates: DataFrame, frames: int, threshold: float = 0.3, base: float = 1.0, columns: int = 64, edge: int = 4, least: int = 2) -> DataFrame:
     """Depths that enough of all frames support within two disparity steps."""
     v = _disparity_votes(reference, candidates, base, 2 * g.PI / columns)
@@ -99,6 +75,11 @@ def fuse_spherical(reference: DataFrame, candidates: DataFrame, frames: int, thr
     return kept.select("y", "x", "depth", "support", F.exp(-2 * F.abs(error)).alias("conf"))
 
 
+def remove_low_confidence(pixels: DataFrame, least: float) -> DataFrame:
+    """Depths whose confidence is no more than ``least`` become 0."""
+    return pixels.withColumn("depth", F.when(F.col("conf") <= least, F.lit(0.0)).otherwise(F.col("depth")))
+
+
 def triangulate(pixels: DataFrame, cut: float | None = None) -> DataFrame:
     """(frame, y, x, t, depth jump): the triangles of each 2 x 2 block with three depths or more.
 

@@ -44,6 +44,18 @@ def keep_components(faces: DataFrame, least: int) -> DataFrame:
     return faces.join(found.join(good.select("component"), "component", "left_semi").select("fid"), "fid", "left_semi")
 
 
+def component_ranks(faces: DataFrame) -> DataFrame:
+    """(component, size, rank): components of faces from the largest, which is 0, on; of equals the one with the smallest face first."""
+    from pyspark.sql import Window as W
+
+    sizes = face_components(faces).groupBy("component").agg(F.count("*").alias("size"))
+    # components of one size are ranked among themselves, behind all larger ones
+    larger = sizes.groupBy("size").agg(F.count("*").alias("n"))
+    ahead = larger.withColumn("ahead", F.coalesce(F.sum("n").over(W.orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("size", "ahead")
+    own = sizes.withColumn("own", F.row_number().over(W.partitionBy("size").orderBy("component")) - 1)
+    return own.join(ahead, "size").select("component", "size", (F.col("ahead") + F.col("own")).alias("rank"))
+
+
 def boundary(faces: DataFrame) -> DataFrame:
     """(a, b): edges of one face only."""
     return edges(faces).groupBy("a", "b").agg(F.count("*").alias("n")).filter("n = 1").select("a", "b")

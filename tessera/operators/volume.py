@@ -116,6 +116,65 @@ def outside(voxels: DataFrame, predicate: Column) -> DataFrame:
     return voxels.filter(~F.coalesce(predicate, F.lit(False)))
 
 
+def clear_near(voxels: DataFrame, points: DataFrame, low: int, high: int) -> DataFrame:
+    """The voxels but for those within [low, high) steps along each axis of a point's (px, py, pz) voxel."""
+    near = points.select(*[F.round(f"p{c}").cast("int").alias(f"v{c}") for c in "xyz"]).distinct()
+    for c in KEY:  # an axis at a time: the intermediate rows stay few
+        near = near.withColumn(c, F.explode(F.array(*[F.col(c) + i for i in range(low, high)]))).distinct()
+    return voxels.join(near, KEY, "left_anti")
+
+
+def range_template(points: DataFrame, length: float, low: float = -1.0, high: float = 1.2) -> DataFrame:
+    """(vx, vy, vz, d, w): the cubes of voxels within the truncation of the points' (px, py, pz) voxels, each marked with 1."""
+    import math
+
+    reach = math.ceil(max(abs(low), abs(high)) / length)
+    near = points.select(*[F.round(f"p{c}").cast("int").alias(f"v{c}") for c in "xyz"]).distinct()
+    for c in KEY:
+        near = near.withColumn(c, F.explode(F.array(*[F.col(c) + i for i in range(-reach, reach + 1)]))).distinct()
+    return near.select(*KEY, F.lit(1.0).alias("d"), F.lit(1.0).alias("w"))
+
+
+def brick_table(voxels: DataFrame, buckets: int) -> DataFrame:
+    """One row: bricks, buckets of a hash table of that size that hold any, bricks beyond the first of a bucket, and the fullest bucket."""
+    bricks = voxels.select(*[g.brick(c).alias(c) for c in KEY]).distinct()
+    held = bricks.groupBy(F.pmod(g.brick_hash(*[F.col(c) for c in KEY]), F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("n"))
+    return held.agg(F.sum("n").alias("bricks"), F.count("*").alias("used"), (F.sum("n") - F.count("*")).alias("collisions"), F.max("n").alias("fullest"))
+
+
+def transposed(voxels: DataFrame, order: str) -> DataFrame:
+    """The volume with its axes renamed: order "yxz" makes y the first axis."""
+    others = [c for c in voxels.columns if c not in KEY]
+    return voxels.select(*[F.col(f"v{c}").alias(k) for k, c in zip(KEY, order, strict=True)], *others)
+
+
+def plane(voxels: DataFrame, axis: str, at: int) -> DataFrame:
+    """One slice: (a, b, d, w), the two other axes in order."""
+    a, b = [c for c in "xyz" if c != axis]
+    return voxels.filter(F.col(f"v{axis}") == at).select(F.col(f"v{a}").alias("a"), F.col(f"v{b}").alias("b"), "d", "w")
+
+
+def to_columns(cells: DataFrame, ny: int, nz: int, least: float = 1e-4) -> DataFrame:
+    """(sample, vx, vy, vz, d, w): a feature matrix's long rows (sample, idx, val, w) as volumes; cells of less weight go."""
+    x, y, z = g.unflatten(F.col("idx"), ny, nz)
+    return cells.filter(F.col("w") >= least).select("sample", *[c.cast("int").alias(k) for k, c in zip(KEY, (x, y, z), strict=True)], F.col("val").alias("d"), F.least("w", F.lit(MAX_WEIGHT)).alias("w"))
+
+
+def data_matrix(volumes: DataFrame) -> DataFrame:
+    """(sample, vx, vy, vz, mean, centred, w): volumes (sample, vx, vy, vz, d, w) on their common grid, less the cells' weighted means."""
+    mean = volumes.filter("w > 0").groupBy(*KEY).agg((F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("mean"))
+    return volumes.filter("w > 0").join(mean, KEY).select("sample", *KEY, "mean", (F.col("d") - F.col("mean")).alias("centred"), "w")
+
+
+def gram(centred: DataFrame) -> DataFrame:
+    """(a, b, product): weighted products of the samples' centred values over the cells both observe, each over their common weight."""
+    a = centred.select(F.col("sample").alias("a"), *KEY, F.col("centred").alias("xa"), F.col("w").alias("wa"))
+    b = centred.select(F.col("sample").alias("b"), *KEY, F.col("centred").alias("xb"), F.col("w").alias("wb"))
+    met = a.join(b, KEY).filter("a <= b")
+    common = F.sqrt(F.col("wa") * F.col("wb"))
+    return met.groupBy("a", "b").agg((F.sum(F.col("xa") * F.col("xb") * common) / F.sum(common)).alias("product"))
+
+
 def scale_weights(voxels: DataFrame, factor: float, predicate: Column | None = None) -> DataFrame:
     """Weights times a factor, kept within [0, MAX_WEIGHT], where the predicate holds."""
     scaled = F.greatest(F.lit(0.0), F.least(F.lit(MAX_WEIGHT), F.col("w") * factor))

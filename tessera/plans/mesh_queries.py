@@ -161,17 +161,11 @@ def zbuffer(spark, sf):
     return _fusion(spark, sf)[1].withColumn("depth", r("depth", 7))
 
 
-@query("fuse_simple", f"""WITH {_PROJECTED}, votes AS (SELECT y, x, min(ref) AS depth, count(*) FILTER (abs(depth - ref) <= 0.02 * ref * ref) AS support, count(depth) AS seen FROM met GROUP BY y, x)
-    SELECT y, x, round(depth, 6) AS depth, support, seen FROM votes WHERE (support + 1) / (seen + 1) > 0.4 AND support >= 1""")
+@query("fuse_simple", f"""WITH {_PROJECTED}, votes AS (SELECT y, x, min(ref) AS depth, count(*) FILTER (abs(depth - ref) < 0.02 * ref * ref) AS support, count(depth) AS seen FROM met GROUP BY y, x)
+    SELECT y, x, round(depth, 6) AS depth, support, seen FROM votes WHERE (support + 1) / (seen + 1) > 0.9 AND support >= 1""")
 def fuse_simple(spark, sf):
     ref, cand = _fusion(spark, sf)
-    return d.fuse_simple(ref, cand, 0.4, 1, 0.02).withColumn("depth", r("depth"))
-
-
-@query("fuse_disparity", f"WITH {_PROJECTED}, {_VOTES.format(a=_APART, s='pi() / 64')} SELECT y, x, round(depth, 6) AS depth, support FROM votes WHERE (support - occlusions - violations) / 10.0 > -0.4 AND support >= 1 AND x BETWEEN 4 AND 59")
-def fuse_disparity(spark, sf):
-    ref, cand = _fusion(spark, sf)
-    return d.fuse_disparity(ref, cand, 6, -0.4, least=1).withColumn("depth", r("depth"))
+    return d.fuse_simple(ref, cand, 0.9, 1, 0.02).withColumn("depth", r("depth"))
 
 
 @query("fuse_reference_support", f"WITH {_PROJECTED}, {_VOTES.format(a=_APART, s='2 * pi() / 64')} SELECT y, x, round(depth, 6) AS depth, support FROM votes WHERE (support + 1) / 6 > 0.3 AND support >= 1 AND x BETWEEN 4 AND 59")
@@ -191,13 +185,6 @@ def fuse_spherical(spark, sf):
     return out.withColumns({"depth": r("depth"), "conf": r("conf")})
 
 
-@query("fuse_visibility", f"""WITH {_PROJECTED}, k AS (SELECT y, x, frame, depth, row_number() OVER (PARTITION BY y, x ORDER BY depth, frame) - 1 AS front, count(*) OVER (PARTITION BY y, x) AS total FROM zbuf),
-    s AS (SELECT k.y, k.x, k.frame, k.depth, k.front, k.total, count(*) FILTER (abs(z.depth - k.depth) <= 0.05) AS support, count(*) FILTER (z.depth > k.depth + 0.05) AS violations FROM k JOIN zbuf z ON k.y = z.y AND k.x = z.x GROUP BY ALL)
-    SELECT y, x, round(min(depth), 6) AS depth, round(arg_min(support / total, depth), 6) AS conf FROM s WHERE front + support - violations > 0 GROUP BY y, x""")
-def fuse_visibility(spark, sf):
-    return d.fuse_visibility(_fusion(spark, sf)[1]).withColumns({"depth": r("depth"), "conf": r("conf")})
-
-
 @query("triangulate", f"""WITH {i.PIXELS}, c AS (SELECT frame, y, x, 0 AS k, depth FROM pixels UNION ALL SELECT frame, y, x - 1, 1, depth FROM pixels UNION ALL SELECT frame, y - 1, x, 2, depth FROM pixels UNION ALL SELECT frame, y - 1, x - 1, 3, depth FROM pixels),
     b AS (SELECT frame, y, x, max(depth) FILTER (k = 0) AS d0, max(depth) FILTER (k = 1) AS d1, max(depth) FILTER (k = 2) AS d2, max(depth) FILTER (k = 3) AS d3, count(*) AS n FROM c GROUP BY frame, y, x HAVING count(*) >= 3),
     t AS (SELECT frame, y, x, unnest(CASE WHEN n = 4 AND abs(d0 - d3) <= abs(d1 - d2) THEN [{{'t': 1, 'j': greatest(d0, d1, d3) - least(d0, d1, d3)}}, {{'t': 4, 'j': greatest(d0, d2, d3) - least(d0, d2, d3)}}]

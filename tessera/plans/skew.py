@@ -11,9 +11,9 @@ HOT_KEYS = 1000
 LEAST_ROWS = 1000
 
 
-def hot_keys(many: DataFrame, key: str) -> list:
-    """The keys (fewer than HOT_KEYS) that hold more than their share of the rows."""
-    rows = many.count()
+def hot_keys(many: DataFrame, key: str, rows: int | None = None) -> list:
+    """The keys (fewer than HOT_KEYS) that hold more than their share of the rows, if known about so many."""
+    rows = many.count() if rows is None else rows
     if rows <= LEAST_ROWS:
         return []
     heavy = many.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows_of_key")).filter(F.col("rows_of_key") > max(LEAST_ROWS, rows // HOT_KEYS))
