@@ -230,8 +230,9 @@ def step_sizes(boxes: DataFrame) -> DataFrame:
 
 
 def uniform(*keys: Column) -> Column:
-    """A number in (0, 1) that depends on the keys only: the same in every run, on every partitioning."""
-    return (F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") + 0.5) / float(1 << 53)
+    """A number in (0, 1) that depends on the keys only: the same in every run, on every partitioning and engine."""
+    digest = F.md5(F.concat_ws("|", *[k.cast("string") for k in keys]).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def _normal(*keys: Column) -> Column:
@@ -254,6 +255,8 @@ def random_negatives(truth: DataFrame, template: tuple[float, float, float], low
         pose = spark.range(drawn).select((-i - 1).alias("obb_id"), F.lit(-1).alias("category"), F.lit(0.0).alias("score"), (low[0] + at(0) * (high[0] - low[0])).alias("cx"), (low[1] + at(1) * (high[1] - low[1])).alias("cy"), F.lit(0.0).alias("bz"), *[F.lit(float(s)).alias(c) for s, c in zip(template, ("lx", "ly", "lz"), strict=True)], (at(2) * 2 * g.PI).alias("theta"))
         hit = overlaps(pose, truth).select(F.col("a_obb_id").alias("obb_id")).distinct()
         free = pose.join(hit, "obb_id", "left_anti")
-        if free.limit(n).count() == n or drawn > 64 * n:
+        if free.limit(n).count() == n:
             return free.orderBy(F.col("obb_id").desc()).limit(n)
+        if drawn > 64 * n:
+            raise ValueError(f"of {drawn} drawn poses fewer than {n} touch no true box")
         drawn *= 2

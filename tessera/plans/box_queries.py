@@ -116,12 +116,6 @@ def nms(spark, sf):
     return b.suppress(box, b.nms_pairs(box)).select("obb_id")
 
 
-@query("nms_same_angle")
-def nms_same_angle(spark, sf):
-    box = i.boxes(spark, sf).withColumn("theta", F.lit(0.0))
-    return b.suppress(box, b.nms_same_angle_pairs(box)).select("obb_id")
-
-
 @query("vertex_in_box", f"""WITH {i.FACES}, {i.VERTICES}, {i.BOXES} SELECT vid AS pid, obb_id FROM verts JOIN boxes ON abs((x - cx) * cos(theta) + (y - cy) * sin(theta)) <= lx / 2 AND abs((y - cy) * cos(theta) - (x - cx) * sin(theta)) <= ly / 2 AND z >= bz AND z <= bz + lz""")
 def vertex_in_box(spark, sf):
     return b.points_in_boxes(i.vertices(spark, sf).withColumnRenamed("vid", "pid"), i.boxes(spark, sf))
@@ -130,14 +124,3 @@ def vertex_in_box(spark, sf):
 @query("scan_steps", f"WITH {i.BOXES} SELECT obb_id, CASE WHEN least(lx, ly) > 8 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS sx, round(CASE WHEN least(lx, ly) > 8 THEN 2.0 ELSE 1.0 END * pi() / 180, 6) AS sangle FROM boxes")
 def scan_steps(spark, sf):
     return b.step_sizes(i.boxes(spark, sf)).select("obb_id", "sx", r("sangle").alias("sangle"))
-
-
-@query("jitter_boxes")
-def jitter_boxes(spark, sf):
-    out = b.jitter(i.boxes(spark, sf), 5)
-    return out.select("obb_id", "copy", *[r(c).alias(c) for c in ("cx", "cy", "theta")])
-
-
-@query("random_negatives")
-def random_negatives(spark, sf):
-    return b.random_negatives(i.boxes(spark, sf), (2.0, 2.0, 2.0), (0.0, 0.0), (60.0, 60.0), 200).select("obb_id", *[r(c).alias(c) for c in ("cx", "cy", "theta")])

@@ -111,19 +111,6 @@ def pca_components(spark, sf):
     return n.components_by_cluster(i.cells(spark, sf)).withColumn("base", r("base", 4))
 
 
-@query("joint_models")
-def joint_models(spark, sf):
-    return n.joint_models(i.cells(spark, sf))[1].select("sample", "cluster", r("error").alias("error"))
-
-
-@query("train_linear")
-def train_linear(spark, sf):
-    c = i.cells(spark, sf)
-    labels = c.select("sample", F.when(F.col("cluster") == 0, F.lit(1)).otherwise(F.lit(-1)).alias("y")).distinct()
-    weights, bias = n.train_linear(n.feature_rows(c), labels, rounds=5)
-    return weights.select("feature", r("wt").alias("wt"), F.lit(round(bias, 6)).alias("bias"))
-
-
 @query("cluster_mean_scale", f"WITH {i.BOXES} SELECT category, round(avg(lx), 6) AS lx, round(avg(ly), 6) AS ly, round(avg(lz), 6) AS lz FROM boxes GROUP BY category")
 def cluster_mean_scale(spark, sf):
     return i.boxes(spark, sf).groupBy("category").agg(*[r(F.avg(c)).alias(c) for c in ("lx", "ly", "lz")])

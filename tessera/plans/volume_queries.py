@@ -271,11 +271,6 @@ def min_area_rect(spark, sf):
     return v.smallest_rectangle(v.integral2d(v.histogram2d(i.voxels(spark, sf)), 8, 8), 100)
 
 
-@query("transform_volume")
-def transform_volume(spark, sf):
-    return v.transform(i.voxels(spark, sf), 0.3, (2.0, -1.0, 3.0)).select("vx", "vy", "vz", r("d", 9).alias("d"), r("w", 9).alias("w"))
-
-
 @query("transform_identity", f"WITH {i.VOX} SELECT vx, vy, vz, round(d, 6) AS d, round(w, 6) AS w FROM vox")
 def transform_identity(spark, sf):
     return v.transform(i.voxels(spark, sf), 0.0, (0.0, 0.0, 0.0)).select("vx", "vy", "vz", r("d").alias("d"), r("w").alias("w"))
