@@ -172,15 +172,8 @@ def subdivide(faces: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFra
     return faces.select("fid", made).select((F.col("fid") * 4 + F.col("k")).alias("fid"), "t.v0", "t.v1", "t.v2"), points
 
 
-def weld(vertices: DataFrame, radius: float) -> DataFrame:
-    """(vid, target): vertices of one cell of size ``radius`` become its smallest one."""
-    cell = [F.floor(F.col(k) / radius).cast("long").alias(f"c{k}") for k in "xyz"]
-    keyed = vertices.select("vid", *cell)
-    return keyed.join(keyed.groupBy("cx", "cy", "cz").agg(F.min("vid").alias("target")), ["cx", "cy", "cz"]).select("vid", "target")
-
-
 def flatten(faces: DataFrame, targets: DataFrame) -> DataFrame:
-    """Faces on the welded vertices; those that lose a corner go."""
+    """Faces on the welded vertices (vid, target), as ``meshtools.weld_radius`` gives them; those that lose a corner go."""
     corners = faces.select("fid", F.posexplode(F.array("v0", "v1", "v2")).alias("k", "vid")).join(targets, "vid")
     wide = corners.groupBy("fid").agg(*[F.max(F.when(F.col("k") == k, F.col("target"))).alias(f"v{k}") for k in range(3)])
     return wide.filter("v0 <> v1 and v1 <> v2 and v2 <> v0")

@@ -192,11 +192,11 @@ def matrix_volumes(spark, sf):
     return v.to_columns(i.cells(spark, sf), 4, 4, 1.0).withColumn("d", r("d"))
 
 
-_VOLS = f"{i.CELLS}, vols AS (SELECT sample, idx // 16 AS vx, idx // 4 % 4 AS vy, idx % 4 AS vz, val AS d, w FROM cells WHERE sample < 40 AND w > 0), mean AS (SELECT vx, vy, vz, sum(d * w) / sum(w) AS mean FROM vols GROUP BY ALL), cen AS (SELECT sample, vx, vy, vz, mean, d - mean AS centred, w FROM vols JOIN mean USING (vx, vy, vz))"
+_VOLS = f"{i.CELLS}, vols AS (SELECT sample, idx // 16 AS vx, idx // 4 % 4 AS vy, idx % 4 AS vz, val AS d, w FROM cells WHERE w > 0), mean AS (SELECT vx, vy, vz, sum(d * w) / sum(w) AS mean FROM vols GROUP BY ALL), cen AS (SELECT sample, vx, vy, vz, mean, d - mean AS centred, w FROM vols JOIN mean USING (vx, vy, vz))"
 
 
 def _volumes(spark, sf):
-    return v.data_matrix(v.to_columns(i.cells(spark, sf).filter("sample < 40"), 4, 4))
+    return v.data_matrix(v.to_columns(i.cells(spark, sf), 4, 4))
 
 
 @query("data_matrix", f"WITH {_VOLS} SELECT sample, CAST(vx AS INTEGER) AS vx, CAST(vy AS INTEGER) AS vy, CAST(vz AS INTEGER) AS vz, round(mean, 7) + 0.0::DOUBLE AS mean, round(centred, 7) + 0.0::DOUBLE AS centred FROM cen")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
@@ -12,7 +14,7 @@ from tessera.operators import learn as n
 from tessera.operators import volume as v
 from tessera.plans import inputs as i
 from tessera.plans.box_queries import TOUCH2, TOUCH3, _iou_sql
-from tessera.plans.learn_queries import _FEATURES
+from tessera.plans.learn_queries import _ERRORS, _FEATURES
 from tessera.plans.registry import query
 from tessera.plans.volume_queries import _CORNERS
 
@@ -24,12 +26,17 @@ _POSES = f"""poses AS (SELECT id AS obb_id, 0 AS category, 4.0::DOUBLE + (id //
     6.0::DOUBLE AS lx, 5.0::DOUBLE AS ly, 4.0::DOUBLE AS lz, (id % {_NA}) * 1.3::DOUBLE AS theta FROM (SELECT unnest(range({_N})) AS id))"""
 
 
+def _corners(out: str) -> str:
+    """The corners' SQL with names of its own."""
+    return re.sub(r"\b(o8|snapped|corners|met|pts)\b", rf"{out}_\1", _CORNERS)
+
+
 def _scores(boxes: str, out: str) -> str:
     """SQL: table ``out`` (obb_id, score) of a table of boxes that enough of is observed."""
     return f"""{out}_own AS (SELECT row_number() OVER (ORDER BY obb_id, ix, iy, iz) AS pid, obb_id, (ix * 3 + iy) * 2 + iz AS idx,
         cx + (ix / 2.0::DOUBLE - 0.5) * lx * cos(theta) - (iy / 2.0::DOUBLE - 0.5) * ly * sin(theta) AS px, cy + (ix / 2.0::DOUBLE - 0.5) * lx * sin(theta) + (iy / 2.0::DOUBLE - 0.5) * ly * cos(theta) AS py, bz + iz * lz AS pz
-        FROM {boxes}, (SELECT unnest(range(3)) AS ix), (SELECT unnest(range(3)) AS iy), (SELECT unnest(range(2)) AS iz)), pts AS (SELECT pid, px, py, pz FROM {out}_own), {_CORNERS},
-    {out}_cells AS (SELECT pid, sum(share * d) / sum(share) AS val FROM met GROUP BY pid HAVING sum(share) > 0.4),
+        FROM {boxes}, (SELECT unnest(range(3)) AS ix), (SELECT unnest(range(3)) AS iy), (SELECT unnest(range(2)) AS iz)), {out}_pts AS (SELECT pid, px, py, pz FROM {out}_own), {_corners(out)},
+    {out}_cells AS (SELECT pid, sum(share * d) / sum(share) AS val FROM {out}_met GROUP BY pid HAVING sum(share) > 0.4),
     {out}_feats AS (SELECT obb_id, idx, val FROM {out}_cells JOIN {out}_own USING (pid)),
     {out} AS (SELECT obb_id, sum(val * ((idx * 2 * 37 % 19 - 9) / 10.0::DOUBLE) + ((idx * 2 + 1) * 37 % 19 - 9) / 10.0::DOUBLE) + 0.1 AS score FROM {out}_feats GROUP BY obb_id HAVING count(*) / 18.0 >= 0.4)"""
 
@@ -85,31 +92,31 @@ def detect_and_suppress(spark, sf):
 
 
 def _truth(spark, sf):
-    return i.boxes(spark, sf).filter("obb_id % 5 = 0").withColumns({"cx": F.col("cx") * 0.8, "cy": F.col("cy") * 0.8, "bz": F.lit(9.0)})
+    return i.boxes(spark, sf).filter("category = 0").withColumns({"cx": F.col("cx") * 0.8, "cy": F.col("cy") * 0.8, "bz": F.lit(9.0)})
 
 
-_TRUTH = "truth AS (SELECT * REPLACE (cx * 0.8::DOUBLE AS cx, cy * 0.8::DOUBLE AS cy, 9.0::DOUBLE AS bz) FROM boxes WHERE obb_id % 5 = 0)"
+_TRUTH = "truth AS (SELECT * REPLACE (cx * 0.8::DOUBLE AS cx, cy * 0.8::DOUBLE AS cy, 9.0::DOUBLE AS bz) FROM boxes WHERE category = 0)"
 _MATCH = _iou_sql(31, "a.src = 0 AND b.src = 1 AND cos(a.theta - b.theta) >= sqrt(0.5)").replace("FROM boxes a JOIN boxes b", "FROM all_boxes a JOIN all_boxes b")
 
 
 @query("mine_negatives", f"""WITH {_FOUND}, {i.BOXES}, {_TRUTH}, all_boxes AS (SELECT 0 AS src, obb_id, category, score, cx, cy, bz, lx, ly, lz, theta FROM found UNION ALL SELECT 1, obb_id, category, score, cx, cy, bz, lx, ly, lz, theta FROM truth),
-    {_MATCH}, hit AS (SELECT a, max(iou * cos(ta - tb)) AS s FROM iou GROUP BY a), fresh AS (SELECT obb_id, score FROM found WHERE obb_id % 7 <> 0 AND obb_id NOT IN (SELECT a FROM hit WHERE s > 0.02)),
-    known AS (SELECT obb_id, 0.5::DOUBLE AS score FROM poses WHERE obb_id % 7 = 0) SELECT obb_id, round(score, 6) AS score FROM (SELECT * FROM fresh UNION ALL SELECT * FROM known) ORDER BY score DESC, obb_id LIMIT 60""")
+    {_MATCH}, hit AS (SELECT a, max(iou * cos(ta - tb)) AS s FROM iou GROUP BY a), fresh AS (SELECT obb_id, score FROM found WHERE theta > 0 AND obb_id NOT IN (SELECT a FROM hit WHERE s > 0.02)),
+    known AS (SELECT obb_id, 0.5::DOUBLE AS score FROM poses WHERE theta = 0) SELECT obb_id, round(score, 6) AS score FROM (SELECT * FROM fresh UNION ALL SELECT * FROM known) ORDER BY score DESC, obb_id LIMIT 60""")
 def mine_negatives(spark, sf):
-    known = SCAN.boxes(spark, DETECTOR.template, DETECTOR.bottom).filter("obb_id % 7 = 0").withColumn("score", F.lit(0.5))
+    known = SCAN.boxes(spark, DETECTOR.template, DETECTOR.bottom).filter("theta = 0").withColumn("score", F.lit(0.5))
     out, _ = t.mine(i.voxels(spark, sf), SCAN, _weights(spark), DETECTOR, _truth(spark, sf), known, 60, 0.02)
     return out.select("obb_id", r("score").alias("score"))
 
 
 def _few(spark, sf):
-    return t.score(i.voxels(spark, sf), SCAN.boxes(spark, DETECTOR.template, DETECTOR.bottom).filter("obb_id % 37 = 0"), _weights(spark), DETECTOR)
+    return t.detect(i.voxels(spark, sf), SCAN, _weights(spark), DETECTOR, suppress=False)
 
 
-_FEW = f"{i.VOX}, {_POSES}, few AS (SELECT * FROM poses WHERE obb_id % 37 = 0)"
+_FEW = f"{_FOUND}, few AS (SELECT * EXCLUDE (score) FROM found)"
 
 
 @query("refine_positions", f"""WITH {_FEW}, moves AS (SELECT f.obb_id AS home, ((a + 1) * 3 + b + 1) * 3 + c + 1 AS k, cx + a * 4.0::DOUBLE AS cx, cy + b * 5.0::DOUBLE AS cy, theta + c * 1.3::DOUBLE AS theta, bz, lx, ly, lz FROM few f, (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b), (SELECT unnest([-1, 0, 1]) AS c)),
-    tried AS (SELECT home * 100000 + k AS obb_id, * FROM moves), {_scores('tried', 'scored')}, best AS (SELECT t.*, score, row_number() OVER (PARTITION BY home ORDER BY score DESC, k) AS rk FROM tried t JOIN scored USING (obb_id)), own AS (SELECT home, score FROM tried JOIN scored USING (obb_id) WHERE k = 13)
+    tried AS (SELECT home * 100000 + k AS obb_id, * FROM moves), {_scores('tried', 'rescored')}, best AS (SELECT t.*, score, row_number() OVER (PARTITION BY home ORDER BY score DESC, k) AS rk FROM tried t JOIN rescored USING (obb_id)), own AS (SELECT home, score FROM tried JOIN rescored USING (obb_id) WHERE k = 13)
     SELECT f.obb_id, round(CASE WHEN best.score > own.score THEN best.cx ELSE f.cx END, 6) AS cx, round(CASE WHEN best.score > own.score THEN best.theta ELSE f.theta END, 6) + 0.0::DOUBLE AS theta, round(greatest(best.score, own.score), 6) AS score
     FROM few f JOIN own ON own.home = f.obb_id JOIN best ON best.home = f.obb_id AND rk = 1""")
 def refine_positions(spark, sf):
@@ -118,8 +125,8 @@ def refine_positions(spark, sf):
 
 
 @query("refine_scales", f"""WITH {_FEW}, moves AS (SELECT f.obb_id AS home, (a * 3 + b) * 3 + c AS k, cx, cy, theta, bz, lx * (0.95::DOUBLE + a * 0.05::DOUBLE) AS lx, ly * (0.95::DOUBLE + b * 0.05::DOUBLE) AS ly, lz * (0.95::DOUBLE + c * 0.05::DOUBLE) AS lz FROM few f, (SELECT unnest([0, 1, 2]) AS a), (SELECT unnest([0, 1, 2]) AS b), (SELECT unnest([0, 1, 2]) AS c)),
-    tried AS (SELECT home * 100000 + k AS obb_id, * FROM moves UNION ALL SELECT -1 - obb_id, obb_id, -1, cx, cy, theta, bz, lx, ly, lz FROM few), {_scores('tried', 'scored')},
-    best AS (SELECT t.*, score, row_number() OVER (PARTITION BY home ORDER BY score DESC, k) AS rk FROM tried t JOIN scored USING (obb_id) WHERE k >= 0), own AS (SELECT home, score FROM tried JOIN scored USING (obb_id) WHERE k = -1)
+    tried AS (SELECT home * 100000 + k AS obb_id, * FROM moves UNION ALL SELECT -1 - obb_id, obb_id, -1, cx, cy, theta, bz, lx, ly, lz FROM few), {_scores('tried', 'rescored')},
+    best AS (SELECT t.*, score, row_number() OVER (PARTITION BY home ORDER BY score DESC, k) AS rk FROM tried t JOIN rescored USING (obb_id) WHERE k >= 0), own AS (SELECT home, score FROM tried JOIN rescored USING (obb_id) WHERE k = -1)
     SELECT f.obb_id, round(greatest(coalesce(best.score, own.score), own.score), 6) AS score FROM few f JOIN own ON own.home = f.obb_id LEFT JOIN best ON best.home = f.obb_id AND rk = 1""")
 def refine_scales(spark, sf):
     out = t.refine_scales(i.voxels(spark, sf), _few(spark, sf), 0.95, 1.05, _weights(spark), DETECTOR)
@@ -175,10 +182,11 @@ def joint_models(spark, sf):
     return n.joint_models(i.cells(spark, sf))[1].select("sample", "cluster", r("error").alias("error"))
 
 
-@query("cluster_members", f"WITH {i.CELLS} SELECT cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY sample) - 1 AS INTEGER) AS place, sample FROM (SELECT DISTINCT sample, cluster FROM cells WHERE sample % 11 <> 0)")
+@query("cluster_members", f"WITH {_ERRORS}, k AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY error, cluster) AS k FROM errors) SELECT cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY sample) - 1 AS INTEGER) AS place, sample FROM k WHERE k = 1 AND sqrt(error) <= 1.2")
 def cluster_members(spark, sf):
-    a = i.cells(spark, sf).select("sample", "cluster").distinct()
-    return t.cluster_members(a, a.filter("sample % 11 = 0"))
+    c = i.cells(spark, sf)
+    a = n.assign_clusters(n.cluster_errors(c, n.cell_mean(c)), 1.2)
+    return t.cluster_members(a, a.filter("gamma > 0"))
 
 
 @query("cluster_sides", f"WITH {i.BOXES} SELECT obb_id % 4 AS cluster, round(avg(lx), 6) AS lx, round(avg(ly), 6) AS ly, round(avg(lz), 6) AS lz FROM boxes GROUP BY 1")

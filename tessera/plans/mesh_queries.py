@@ -104,23 +104,12 @@ def laplacian(spark, sf):
     return m.laplacian(i.faces(spark, sf), i.vertices(spark, sf)).select("vid", r("x", 7).alias("x"), r("z", 7).alias("z"))
 
 
-@query("taubin")
-def taubin(spark, sf):
-    return m.taubin(i.faces(spark, sf), i.vertices(spark, sf)).select("vid", r("x").alias("x"), r("z").alias("z"))
-
-
 @query("subdivide", f"WITH {_EDGES}, {i.VERTICES} SELECT (SELECT count(*) * 4 FROM faces) AS faces, (SELECT count(*) FROM verts) + (SELECT count(*) FROM (SELECT DISTINCT a, b FROM edges)) AS vertices")
 def subdivide(spark, sf):
     f, v = m.subdivide(i.faces(spark, sf), i.vertices(spark, sf))
     return f.agg(F.count("*").alias("faces")).crossJoin(v.agg(F.count("*").alias("vertices")))
 
 
-@query("weld_flatten", f"""WITH {i.FACES}, {i.VERTICES}, t AS (SELECT vid, min(vid) OVER (PARTITION BY floor(x / 2.0), floor(y / 2.0), floor(z / 2.0)) AS target FROM verts)
-    SELECT fid, a.target AS v0, b.target AS v1, c.target AS v2 FROM faces JOIN t a ON a.vid = v0 JOIN t b ON b.vid = v1 JOIN t c ON c.vid = v2 WHERE a.target <> b.target AND b.target <> c.target AND c.target <> a.target""")
-def weld_flatten(spark, sf):
-    return m.flatten(i.faces(spark, sf), m.weld(i.vertices(spark, sf), 2.0))
-
-
 @query("compact_ids", f"WITH {i.FACES}, {i.VERTICES} SELECT vid, row_number() OVER (ORDER BY vid) - 1 AS new FROM verts")
 def compact_ids(spark, sf):
     return m.compact(i.faces(spark, sf))
