@@ -122,3 +122,49 @@ def jet(t: Column) -> tuple[Column, Column, Column]:
     """Piecewise linear rainbow of [0, 1], as bytes."""
     part = lambda c: F.floor(255 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.5 - F.abs(4 * t - c)))).cast("int")
     return part(3.0), part(2.0), part(1.0)
+
+
+def sign(x: Column) -> Column:
+    """-1 below 0, else 1: 0 counts as positive."""
+    return F.when(x < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+
+
+def fract(x: Column) -> Column:
+    return x - F.floor(x)
+
+
+def clamp(x: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
+
+
+def mix(a: Column, b: Column, share: Column | float) -> Column:
+    return a + (b - a) * share
+
+
+def step(edge: Column | float, x: Column) -> Column:
+    return F.when(x < edge, F.lit(0.0)).otherwise(F.lit(1.0))
+
+
+def smoothstep(a: float, b: float, x: Column) -> Column:
+    t = clamp((x - a) / (b - a), 0.0, 1.0)
+    return t * t * (3 - 2 * t)
+
+
+def reflect(v: list[Column], n: list[Column]) -> list[Column]:
+    """A direction mirrored at a plane with the unit normal n."""
+    d = sum((p * q for p, q in zip(v, n, strict=True)), F.lit(0.0))
+    return [p - 2 * d * q for p, q in zip(v, n, strict=True)]
+
+
+def refract(v: list[Column], n: list[Column], eta: float) -> list[Column]:
+    """A unit direction bent at a plane with the unit normal n; zeros where all of it is mirrored."""
+    d = sum((p * q for p, q in zip(v, n, strict=True)), F.lit(0.0))
+    k = 1 - eta * eta * (1 - d * d)
+    bend = eta * d + F.sqrt(F.greatest(k, F.lit(0.0)))
+    return [F.when(k < 0, F.lit(0.0)).otherwise(eta * p - bend * q) for p, q in zip(v, n, strict=True)]
+
+
+def angle_between(v: list[Column], w: list[Column]) -> Column:
+    """The angle of two directions, exact also where they are nearly parallel."""
+    c = [v[1] * w[2] - v[2] * w[1], v[2] * w[0] - v[0] * w[2], v[0] * w[1] - v[1] * w[0]]
+    return F.atan2(F.sqrt(c[0] * c[0] + c[1] * c[1] + c[2] * c[2]), v[0] * w[0] + v[1] * w[1] + v[2] * w[2])

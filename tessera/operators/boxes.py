@@ -51,6 +51,56 @@ def extend_share(boxes: DataFrame, x: float, y: float, z: float) -> DataFrame:
     return boxes.withColumns({"lx": F.col("lx") * (1 + 2 * x), "ly": F.col("ly") * (1 + 2 * y), "lz": F.col("lz") * (1 + z)})
 
 
+def from_centres(boxes: DataFrame, counts: tuple[int, int, int], bottom: bool = False) -> DataFrame:
+    """(obb_id, offset, orientation, sides, voxel_lengths) of boxes: the corner they start from, their turn, and the length of a cell.
+
+    The centre is that of the box, or with ``bottom`` that of its bottom.
+    """
+    c, s = F.cos("theta"), F.sin("theta")
+    zero, one = F.lit(0.0), F.lit(1.0)
+    x, y = g.turned(-F.col("lx") / 2, -F.col("ly") / 2, F.col("theta"))
+    z = F.col("bz") if bottom else F.col("bz") - F.col("lz") / 2
+    cells = [F.col(k) / (n - 1) for k, n in zip(("lx", "ly", "lz"), counts, strict=True)]
+    return boxes.select("obb_id", F.array(F.col("cx") + x, F.col("cy") + y, z).alias("offset"), F.array(c, -s, zero, s, c, zero, zero, zero, one).alias("orientation"), F.array("lx", "ly", "lz").alias("sides"), F.array(*cells).alias("voxel_lengths"))
+
+
+def rescale(boxes: DataFrame, x: float, y: float, z: float, keep_bottom: bool = False) -> DataFrame:
+    """Sides times factors about the centre, or with ``keep_bottom`` about the bottom's centre."""
+    out = boxes.withColumns({"lx": F.col("lx") * x, "ly": F.col("ly") * y, "lz": F.col("lz") * z})
+    return out if keep_bottom else out.withColumn("bz", F.col("bz") - F.col("lz") * ((z - 1) / (2 * z)))
+
+
+def rotated_axes(boxes: DataFrame) -> DataFrame:
+    """(obb_id, centre, axes, half): boxes in general form, axes the rows of a 3 x 3 turn."""
+    c, s = F.cos("theta"), F.sin("theta")
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return boxes.select("obb_id", F.array("cx", "cy", F.col("bz") + F.col("lz") / 2).alias("centre"), F.array(c, s, zero, -s, c, zero, zero, zero, one).alias("axes"), F.array(F.col("lx") / 2, F.col("ly") / 2, F.col("lz") / 2).alias("half"))
+
+
+def touch_general(pairs: DataFrame, epsilon: float = 1e-9) -> DataFrame:
+    """Pairs (a_centre, a_axes, a_half, b_..) of boxes turned in any way that touch: none of the fifteen axes parts them."""
+    dot3 = lambda p, i, q, j: sum((F.col(p)[3 * i + k] * F.col(q)[3 * j + k] for k in range(3)), F.lit(0.0))
+    turn = F.array(*[dot3("a_axes", i, "b_axes", j) for i in range(3) for j in range(3)]).alias("turn")
+    apart = [F.col("b_centre")[k] - F.col("a_centre")[k] for k in range(3)]
+    shift = F.array(*[sum((apart[k] * F.col("a_axes")[3 * i + k] for k in range(3)), F.lit(0.0)) for i in range(3)]).alias("shift")
+    # a generator: the axes' tests refer to the nine cosines, not to their sums
+    known = pairs.select("*", F.inline(F.array(F.struct(turn, shift))))
+    r, t, ea, eb = F.col("turn"), F.col("shift"), F.col("a_half"), F.col("b_half")
+    bent = [[F.abs(r[3 * i + j]) + epsilon for j in range(3)] for i in range(3)]
+    tests = [F.abs(t[i]) <= ea[i] + sum((eb[j] * bent[i][j] for j in range(3)), F.lit(0.0)) for i in range(3)]
+    tests += [F.abs(sum((t[i] * r[3 * i + j] for i in range(3)), F.lit(0.0))) <= eb[j] + sum((ea[i] * bent[i][j] for i in range(3)), F.lit(0.0)) for j in range(3)]
+    for i in range(3):
+        i1, i2 = (i + 1) % 3, (i + 2) % 3
+        for j in range(3):
+            j1, j2 = (j + 1) % 3, (j + 2) % 3
+            reach = ea[i1] * bent[i2][j] + ea[i2] * bent[i1][j] + eb[j1] * bent[i][j2] + eb[j2] * bent[i][j1]
+            tests.append(F.abs(t[i2] * r[3 * i1 + j] - t[i1] * r[3 * i2 + j]) <= reach)
+    whole = tests[0]
+    for test in tests[1:]:
+        whole = whole & test
+    return known.filter(whole).drop("turn", "shift")
+
+
 def volume() -> Column:
     return F.col("lx") * F.col("ly") * F.col("lz")
 

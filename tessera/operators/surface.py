@@ -13,7 +13,8 @@ from itertools import permutations, product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.volume import KEY
+from tessera.operators.volume import KEY, _corners
+from tessera.plans.components import settle
 
 
 def _tetrahedra() -> list[list[int]]:
@@ -67,3 +68,39 @@ def extract(voxels: DataFrame, least_weight: float = 0.0, iso: float = 0.0) -> D
     second, third = F.when(faces_out, F.col("p")[1]).otherwise(F.col("p")[2]), F.when(faces_out, F.col("p")[2]).otherwise(F.col("p")[1])
     turned = out.select(*KEY, "tet", "t", F.col("p")[0].alias("a"), second.alias("b"), third.alias("c"))
     return turned.select(*KEY, "tet", "t", *[F.col(f"{s}.{x}").alias(f"{x}{k}") for k, s in enumerate("abc") for x in "xyz"])
+
+
+def indexed(triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((fid, v0, v1, v2), (vid, x, y, z)): the triangles on shared vertices.
+
+    Neighbouring cells compute a common corner from the same two voxels, so
+    equal corners are equal to the last bit; a vertex is named by their hash.
+    Triangles that lose a corner go.
+    """
+    name = lambda k: F.xxhash64(*[F.col(f"{c}{k}") + F.lit(0.0) for c in "xyz"])
+    faces = triangles.select(F.xxhash64(*KEY, "tet", "t").alias("fid"), *[name(k).alias(f"v{k}") for k in range(3)]).filter("v0 <> v1 and v1 <> v2 and v2 <> v0")
+    corners = triangles.select(F.explode(F.array(*[F.struct(name(k).alias("vid"), *[F.col(f"{c}{k}").alias(c) for c in "xyz"]) for k in range(3)])).alias("p"))
+    return faces, corners.groupBy("p.vid").agg(*[F.first(f"p.{c}").alias(c) for c in "xyz"])
+
+
+def coloured(vertices: DataFrame, colours: DataFrame) -> DataFrame:
+    """(vid, x, y, z, r, g, b): vertices with the colours (vx, vy, vz, r, g, b) around them, mixed by nearness and cut to whole numbers; black where there are none."""
+    met = _corners(vertices.select("vid", *[F.col(c).alias(f"p{c}") for c in "xyz"]), "vid").join(colours.select(*KEY, "r", "g", "b"), KEY)
+    mixed = met.filter("share > 0").groupBy("vid").agg(*[F.floor(F.sum(F.col("share") * F.col(c)) / F.sum("share")).cast("int").alias(c) for c in "rgb"])
+    return vertices.join(mixed, "vid", "left").select("vid", "x", "y", "z", *[F.coalesce(c, F.lit(0)).alias(c) for c in "rgb"])
+
+
+def clean_volume(voxels: DataFrame, least: int, low: int = -1, high: int = 2) -> DataFrame:
+    """The volume without what lies near small parts of its surface.
+
+    The surface's parts of fewer than ``least`` faces (below 0: all but the
+    largest) go, and the voxels within [low, high) steps of their vertices.
+    """
+    from tessera.operators import mesh, volume
+
+    faces, vertices = indexed(extract(voxels))
+    faces, vertices = settle(faces, "surface-faces"), settle(vertices, "surface-vertices")
+    kept = mesh.keep_components(faces, least)
+    gone = faces.join(kept.select("fid"), "fid", "left_anti").select(F.explode(F.array("v0", "v1", "v2")).alias("vid")).distinct()
+    near = vertices.join(gone, "vid", "left_semi").select(*[F.col(c).alias(f"p{c}") for c in "xyz"])
+    return volume.clear_near(voxels, near, low, high)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import geometry as g
 from tessera.functions.geometry import r
 from tessera.operators import boxes as b
 from tessera.plans import inputs as i
@@ -124,3 +125,36 @@ def vertex_in_box(spark, sf):
 @query("scan_steps", f"WITH {i.BOXES} SELECT obb_id, CASE WHEN least(lx, ly) > 8 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS sx, round(CASE WHEN least(lx, ly) > 8 THEN 2.0 ELSE 1.0 END * pi() / 180, 6) AS sangle FROM boxes")
 def scan_steps(spark, sf):
     return b.step_sizes(i.boxes(spark, sf)).select("obb_id", "sx", r("sangle").alias("sangle"))
+
+
+@query("obb_from_centre", f"WITH {i.BOXES} SELECT obb_id, round(cx - lx / 2 * cos(theta) + ly / 2 * sin(theta), 6) + 0.0::DOUBLE AS ox, round(cy - lx / 2 * sin(theta) - ly / 2 * cos(theta), 6) + 0.0::DOUBLE AS oy, round(bz - lz / 2, 6) + 0.0::DOUBLE AS oz, round(lx / 8, 6) AS step FROM boxes")
+def obb_from_centre(spark, sf):
+    out = b.from_centres(i.boxes(spark, sf), (9, 9, 9))
+    return out.select("obb_id", *[r(F.col("offset")[k]).alias(f"o{c}") for k, c in enumerate("xyz")], r(F.col("voxel_lengths")[0]).alias("step"))
+
+
+@query("obb_rescale", f"WITH {i.BOXES} SELECT obb_id, round(lx * 2, 6) AS lx, round(lz * 1.5, 6) AS lz, round(bz + lz / 2 - lz * 1.5 / 2, 6) + 0.0::DOUBLE AS bz, round(bz, 6) AS kept FROM boxes")
+def obb_rescale(spark, sf):
+    box = i.boxes(spark, sf)
+    one = b.rescale(box, 2.0, 1.0, 1.5).select("obb_id", r("lx").alias("lx"), r("lz").alias("lz"), r("bz").alias("bz"))
+    return one.join(b.rescale(box, 2.0, 1.0, 1.5, True).select("obb_id", r("bz").alias("kept")), "obb_id")
+
+
+@query("obb_sat15", f"WITH {i.BOXES} SELECT a.obb_id AS a, b.obb_id AS b FROM boxes a JOIN boxes b ON a.obb_id < b.obb_id AND {TOUCH3}")
+def obb_sat15(spark, sf):
+    """The fifteen axes on boxes turned about z, where six of them decide."""
+    general = b.rotated_axes(i.boxes(spark, sf))
+    side = lambda s: general.select(*[F.col(c).alias(f"{s}_{c}") for c in general.columns])
+    pairs = _pairs(spark, sf)[1].select("a_obb_id", "b_obb_id").join(side("a"), "a_obb_id").join(side("b"), "b_obb_id")
+    return b.touch_general(pairs).select(F.col("a_obb_id").alias("a"), F.col("b_obb_id").alias("b"))
+
+
+@query("vector_functions", f"""WITH {i.BOXES}, t AS (SELECT *, theta - 3 AS q, greatest(0, least(1, (theta - 1) / 4)) AS s, lx / sqrt(lx * lx + ly * ly) AS vx, ly / sqrt(lx * lx + ly * ly) AS vy FROM boxes)
+    SELECT obb_id, CASE WHEN q < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS sign, round(q - floor(q), 7) AS fract, round(greatest(-1, least(1, q)), 7) + 0.0::DOUBLE AS clamped, round(lx + (ly - lx) * 0.25::DOUBLE, 7) AS mixed, CASE WHEN theta < 2 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS step,
+    round(s * s * (3 - 2 * s), 7) AS smooth, round(vx, 7) AS rx, round(-vy, 7) + 0.0::DOUBLE AS ry, round(CASE WHEN 1 - 2.25 * (1 - vy * vy) < 0 THEN 0 ELSE 1.5 * vx END, 6) + 0.0::DOUBLE AS bent, round(acos(greatest(-1, least(1, vx))), 5) AS angle FROM t""")
+def vector_functions(spark, sf):
+    box = i.boxes(spark, sf)
+    size = F.sqrt(F.col("lx") * F.col("lx") + F.col("ly") * F.col("ly"))
+    v, up = [F.col("lx") / size, F.col("ly") / size, F.lit(0.0)], [F.lit(0.0), F.lit(1.0), F.lit(0.0)]
+    q, mirrored = F.col("theta") - 3, g.reflect(v, up)
+    return box.select("obb_id", g.sign(q).alias("sign"), r(g.fract(q), 7).alias("fract"), r(g.clamp(q, -1, 1), 7).alias("clamped"), r(g.mix(F.col("lx"), F.col("ly"), 0.25), 7).alias("mixed"), g.step(2.0, F.col("theta")).alias("step"), r(g.smoothstep(1.0, 5.0, F.col("theta")), 7).alias("smooth"), r(mirrored[0], 7).alias("rx"), r(mirrored[1], 7).alias("ry"), r(g.refract(v, up, 1.5)[0]).alias("bent"), r(g.angle_between(v, [F.lit(1.0), F.lit(0.0), F.lit(0.0)]), 5).alias("angle"))

@@ -20,3 +20,18 @@ _CELLS = f"""WITH {_DENSE}, c AS (SELECT vx - x AS vx, vy - y AS vy, vz - z AS v
 @query("surface_triangles", _CELLS)
 def surface_triangles(spark, sf):
     return s.extract(v.smooth(i.voxels(spark, sf))).groupBy("vx", "vy", "vz").agg(F.count("*").alias("triangles"))
+
+
+@query("surface_indexed")
+def surface_indexed(spark, sf):
+    """The surface's faces on shared, coloured vertices."""
+    smooth = v.smooth(i.voxels(spark, sf))
+    f, p = s.indexed(s.extract(smooth))
+    p = s.coloured(p, v.fuse_colors(i.observations(spark, sf)))
+    return f.join(p.withColumnRenamed("vid", "v0"), "v0").groupBy("r", "g", "b").agg(F.count("*").alias("faces"))
+
+
+@query("surface_clean")
+def surface_clean(spark, sf):
+    """The smoothed volume without what lies near small parts of its surface."""
+    return s.clean_volume(v.smooth(i.voxels(spark, sf)), 20).select("vx", "vy", "vz")
