@@ -2,8 +2,8 @@
 
 import hashlib
 
-import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -34,7 +34,7 @@ def brute(spark, rows, sf):
     """The pipeline's rows by plain Python: {doc_id: (text, ids)}; only the quality scores come from the fitted ranker."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     ranker = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), fold("doc_id", 5) != 0)
-    good = {d: t for d, t in rows.items() if ranker.score(np.array([quality.features(t)]))[0] >= quality.CUT}
+    good = {d: t for d, t in rows.items() if ranker.score(quality.features(pa.array([t])))[0] >= quality.CUT}
     cut = held_oracle(good, 8)
     cut = {d: t for d, t in cut.items() if t == good[d] or t.strip()}
     group = components({d: shingle_set(t, 5) for d, t in cut.items()}, 80)

@@ -1,6 +1,11 @@
 """Ops 2, 6 and 7: held-out accuracy on the test tables, and defined results at the edges."""
 
+import math
+import random
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +40,100 @@ def test_language(spark):
     assert df.filter("lang = lang_pred").count() / df.count() > 0.99
 
 
+TEXTS = [None, "", " \n\t", "One word", "THE the The the cat 12 12 12!!", "a b c a b c a b c\nsame\nsame\n\nother, (end).", "Ünï 漢字 <b> $$$ ~~~", "x" * 5000, "\n".join(f"line {i % 7} of many" for i in range(300))]
+
+
+def plain_statistics(text):
+    """The statistics by plain Python."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    k = len(words)
+    if not k:
+        return [0.0] * len(quality.STATISTICS)
+    upper, digits = sum(65 <= b < 91 for b in raw), sum(48 <= b < 58 for b in raw)
+    letters = upper + sum(97 <= b < 123 or b >= 128 for b in raw)
+    symbols = [b for b in raw if 33 <= b < 127 and not chr(b).isalnum() and chr(b) not in ".,;:'\"-()"]
+    lines = [x for x in raw.split(b"\n") if x]
+    lower = sum(not any(65 <= b < 91 for b in w) and any(97 <= b < 123 or b >= 128 for b in w) for w in words)
+    distinct = len(set(words))
+    return [
+        math.log1p(k), math.log(len(raw) / k), upper / max(1, letters), digits / len(raw), len(symbols) / k, max((symbols.count(s) for s in set(symbols)), default=0) / k,
+        sum(chr(b) in ".,;:'\"-()" for b in raw) / k, distinct / k, math.log(distinct) / math.log1p(k), sum(a == b for a, b in zip(words, words[1:])) / k,
+        len(set(zip(words, words[1:], words[2:]))) / (k - 2) if k > 2 else 1.0, len(lines) / k, len(set(lines)) / max(1, len(lines)), letters / len(raw), lower / k,
+    ]
+
+
+def test_quality_features_are_the_plain_ones(monkeypatch):
+    for rows in (1024, 2):
+        monkeypatch.setattr(quality, "ROWS", rows)
+        got = quality.features(pa.array(TEXTS, pa.string()))
+        assert np.allclose(got[:, : len(quality.STATISTICS)], [plain_statistics(t) for t in TEXTS])
+        # a word's bucket depends on the word, and their squares sum up to one
+        assert np.allclose((got[3:, len(quality.STATISTICS) :] ** 2).sum(1), 1)
+
+
+def test_quality_scores_are_the_plain_ones(spark, docs):
+    table = docs(*TEXTS)
+    labels = spark.createDataFrame([(d, d % 2) for d in range(3, 9)], "doc_id long, quality int")
+    ranker = quality.fit(table, labels, F.lit(True))
+    got = {r["doc_id"]: r["score"] for r in quality.score(table, ranker).collect()}
+    for d, t in enumerate(TEXTS):
+        x = quality.features(pa.array([t], pa.string()))[0]
+        z = np.clip((x - ranker.mean) / ranker.scale, -6, 6)
+        s = z[: len(quality.STATISTICS)]
+        raw = sum(w * v for w, v in zip(ranker.weights, [*z, *(s * s / 4), *np.tanh(2 * s)], strict=True))
+        at = (raw - ranker.cut) / ranker.spread + math.log(0.3 / 0.7)
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, at)))))
+
+
+def test_toxicity_scores_are_the_plain_ones(spark, docs):
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(30)) + (" hateful slurs here" if d < 25 else "") for d in range(120)]
+    labels = spark.createDataFrame([(d, int(d < 25)) for d in range(0, 120)], "doc_id long, toxic int")
+    model = toxicity.fit(docs(*texts), labels, F.lit(True))
+    assert len(model.index)
+    weights = dict(zip(model.index.tolist(), model.weights.tolist(), strict=True))
+
+    def plain(text):
+        found = set()
+        for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text or ""):
+            raw = np.frombuffer(w.encode(), np.uint8)
+            found.update(toxicity.feature_hashes(raw, np.array([0, len(raw)]))[0].astype(np.int64).tolist())
+        return 1 / (1 + math.exp(-max(-40, min(40, model.bias + sum(weights.get(h, 0.0) for h in found)))))
+
+    more = [*texts, *TEXTS, "HATEFUL, slurs; here!"]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs(*more), model).collect()}
+    assert all(got[d] == pytest.approx(plain(t)) for d, t in enumerate(more))
+
+
+def test_predictions_are_the_plain_forward_pass():
+    rng = np.random.default_rng(4)
+    f = 5
+    net = langid.Network(["a", "b", "c"], 16, [rng.normal(size=(w, langid.CLASSES, f)).astype(np.float32) for w in langid.WIDTHS], [rng.normal(size=f).astype(np.float32) for _ in langid.WIDTHS], rng.normal(size=(f * 3, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32))
+    texts = [t.encode() for t in ("short", "x" * 16, "A longer text, of several windows: 漢字 and ünï.", "")]
+
+    def window(x):
+        h = []
+        for w, table, bias in zip(langid.WIDTHS, net.tables, net.biases, strict=True):
+            best = [max(sum(table[j][x[i + j]][k] for j in range(w)) for i in range(len(x) - w + 1)) + bias[k] for k in range(f)]
+            h += [max(0.0, b) for b in best]
+        z = np.array([sum(h[i] * net.out[i][k] for i in range(len(h))) + net.out_bias[k] for k in range(3)], float)
+        return z - z.max() - np.log(np.exp(z - z.max()).sum())
+
+    want = []
+    for t in texts:
+        x = langid.windows_of(np.frombuffer(t, np.uint8), 16)
+        weight = [1.0] * (len(x) - 1) + [max(1, len(t) - (len(x) - 1) * 16) / 16]
+        mean = sum(window(w) * v for w, v in zip(x, weight, strict=True)) / sum(weight)
+        p = np.exp(mean - mean.max())
+        want.append(p / p.sum())
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    which, score = langid.Predictor(net).documents(data, np.cumsum([0, *map(len, texts)]))
+    assert which.tolist() == [int(np.argmax(p)) for p in want]
+    assert np.allclose(score, [p.max() for p in want], atol=1e-4)
+
+
 def test_pairs_rank_better_above_worse():
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal(1, 1, (300, len(quality.FEATURES))), rng.normal(-1, 1, (100, len(quality.FEATURES)))])
