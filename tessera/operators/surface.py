@@ -86,7 +86,7 @@ def indexed(triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
 def coloured(vertices: DataFrame, colours: DataFrame) -> DataFrame:
     """(vid, x, y, z, r, g, b): vertices with the colours (vx, vy, vz, r, g, b) around them, mixed by nearness and cut to whole numbers; black where there are none."""
     met = _corners(vertices.select("vid", *[F.col(c).alias(f"p{c}") for c in "xyz"]), "vid").join(colours.select(*KEY, "r", "g", "b"), KEY)
-    mixed = met.filter("share > 0").groupBy("vid").agg(*[F.floor(F.sum(F.col("share") * F.col(c)) / F.sum("share")).cast("int").alias(c) for c in "rgb"])
+    mixed = met.filter("share > 0").groupBy("vid").agg(*[F.floor(F.sum(F.col("share") * F.col(c)) / F.sum("share") + 1e-9).cast("int").alias(c) for c in "rgb"])
     return vertices.join(mixed, "vid", "left").select("vid", "x", "y", "z", *[F.coalesce(c, F.lit(0)).alias(c) for c in "rgb"])
 
 

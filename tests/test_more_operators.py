@@ -193,7 +193,7 @@ def test_folders(spark, tmp_path):
 
 
 def test_a_view_checks_a_vertex(spark):
-    eye = [1.0, 0, 0, 0, 1, 0, 0, 0, 1]
+    eye = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
     cams = spark.createDataFrame([(f, eye, 0.0, 0.0, 0.0) for f in range(4)], "frame int, r array<double>, cx double, cy double, cz double")
     image = c.Image()
     points = spark.createDataFrame([(0, 0, 5.0, 0.1, 0.1), (0, 1, -5.0, 0.0, 0.0)], "frame int, pid int, wx double, wy double, wz double")
