@@ -4,36 +4,39 @@ A text's pieces never cross the start of a run of word marks (U+2581): no
 vocabulary entry does.  So a count is a sum over pre-tokens, which are the
 space-separated chunks of a text.
 
-The distinct pre-tokens of the whole table are gathered first, with the number
-of blocks of documents that hold them, and the pieces of each are counted once:
-by merging, without ids.  Then the counts are joined to the documents'
-pre-token frequencies and summed.  The join goes by frequency: the ``hot``
-pre-tokens that the most blocks hold are broadcast and summed where the texts
-are; of the others, which are few in a text, (document, pre-token, frequency)
-rows meet their counts by shuffle.  So the broadcast is bounded, what is
-shuffled is the tail, and a pre-token that every document holds is in no
-task's way.
+The pre-tokens are dealt to shares by their hash.  A block of documents gives
+each share one packed row: its distinct pre-tokens there, each once, and how
+often each document of the block has them.  A share's task sees all blocks: it
+counts the pieces of a pre-token once, when it first comes, by merging and
+without ids; joins the counts to the documents' frequencies; and sums them for
+each document.  A document's sums over the shares meet by block.  So each
+distinct pre-token of the whole table is counted once, one that every document
+holds is one string a block, and what is shuffled is distinct pre-tokens of
+blocks and small numbers, in less bytes than the texts have.
 
 Null and empty texts hold no bytes and no tokens; texts and pre-tokens of any
-length are counted whole; rows that repeat an id are counted by their own
-texts; null ids are ids like others; an empty table gives no rows; extra
-columns are not read.
+length are counted whole; rows that repeat an id are rows like others, and so
+are null ids; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tessera.llm.merging import RowMerger
-from tessera.llm.runtime import discard, map_arrow, materialize, version
-from tessera.plans.skew import HOT_KEYS, LEAST_ROWS, join_unique
+from tessera.llm.runtime import map_arrow
 
 MARK = "▁"
 
@@ -157,75 +160,127 @@ def load(path: str) -> PieceCounter:
 
 #: Characters of the texts that make up a block.
 BLOCK = 4 << 20
-
-
-def pretokens(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """(pretoken, blocks): the distinct pre-tokens of all texts, and about how many blocks of documents hold each."""
+#: Bytes of input for each share of the pre-tokens, and shares at most.
+SHARE_BYTES, MOST_SHARES = 32 << 20, 20_000
+
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Aligned columns of small numbers, in four bytes each before compression."""
+    return _PACK.compress(np.concatenate([c.astype("<u4") for c in columns]).tobytes())
+
+
+def _unpacked(packed: bytes, columns: int) -> np.ndarray:
+    return np.frombuffer(_UNPACK.decompress(packed), "<u4").reshape(columns, -1)
+
+
+def shares(docs: DataFrame, text_col: str = "text") -> int:
+    """How many shares the pre-tokens are dealt to, by the size that the plan's statistics give for the input, or else by its texts' bytes."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # not known
+        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(2 * docs.sparkSession.sparkContext.defaultParallelism, min(MOST_SHARES, -(-size // SHARE_BYTES)))
+
+
+def deal(docs: DataFrame, path: str, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(share, block, ids, sizes, tokens, entries): each block's distinct pre-tokens of each share with their frequencies in its documents.
+
+    entries: documents (numbers in the block), pre-tokens (numbers in tokens)
+    and times.  A row without tokens lists the block's ids and text sizes.
+    """
+
+    def pack(block: int, ids: pa.Array, texts: list[str], counter: PieceCounter):
+        freq = [counter.frequencies(t) for t in texts]
+        distinct = list(set().union(*freq))
+        share = np.array([zlib.crc32(p.encode()) % n for p in distinct], np.int64)
+        order = np.argsort(share, kind="stable")
+        names, share = [distinct[i] for i in order.tolist()], share[order]
+        number = dict(zip(names, range(len(names))))
+        count = np.fromiter(map(len, freq), np.int64, len(freq))
+        total = int(count.sum())
+        token = np.fromiter((number[p] for f in freq for p in f), np.int64, total)
+        times = np.fromiter((k for f in freq for k in f.values()), np.int64, total)
+        doc = np.repeat(np.arange(len(freq)), count)
+        at = np.argsort(share[token], kind="stable")
+        token, times, doc = token[at], times[at], doc[at]
+        heads = np.searchsorted(share, np.arange(n + 1))
+        cuts = np.searchsorted(share[token], np.arange(n + 1))
+        held = [k for k in range(n) if heads[k + 1] > heads[k]]
+        tokens = [" ".join(names[heads[k] : heads[k + 1]]) for k in held]
+        entries = [_packed(doc[cuts[k] : cuts[k + 1]], token[cuts[k] : cuts[k + 1]] - heads[k], times[cuts[k] : cuts[k + 1]]) for k in held]
+        rows = len(held) + 1
+        ends = pa.array([0, *[0] * len(held), len(texts)], pa.int32())
+        sizes = pa.array([len(t.encode()) for t in texts], pa.int64())
+        columns = [
+            pa.array([*held, block % n], pa.int32()),
+            pa.array([block] * rows, pa.int64()),
+            pa.ListArray.from_arrays(ends, ids),
+            pa.ListArray.from_arrays(ends, sizes),
+            pa.array([*tokens, None], pa.string()),
+            pa.array([*entries, None], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["share", "block", "ids", "sizes", "tokens", "entries"])
 
     def run(batches):
         counter = load(path)
-        held, size = set(), 0
+        # a task that is run again cuts the same blocks
+        block = TaskContext.get().partitionId() << 32
+        ids, texts, size = [], [], 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                held.update(counter.frequencies(t or ""))
-                size += len(t or "")
+            own = [t or "" for t in batch.column(1).to_pylist()]
+            first = 0
+            for i, t in enumerate(own):
+                size += len(t)
+                texts.append(t)
                 if size >= BLOCK:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], ["pretoken"])
-                    held, size = set(), 0
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], ["pretoken"])
-
-    return map_arrow(docs.select(text_col), run, "pretoken string").groupBy("pretoken").agg(F.count("*").alias("blocks"))
-
-
-def piece_counts(distinct: DataFrame, path: str) -> DataFrame:
-    """(pretoken, blocks, pieces): each distinct pre-token counted once."""
-
-    def run(batches):
-        counter = load(path)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counter.pieces(batch.column(0).to_pylist()), pa.int32())], ["pretoken", "blocks", "pieces"])
+                    ids.append(batch.column(0).slice(first, i + 1 - first))
+                    yield pack(block, pa.concat_arrays(ids), texts, counter)
+                    ids, texts, size, first, block = [], [], 0, i + 1, block + 1
+            if first < len(own):
+                ids.append(batch.column(0).slice(first))
+        if texts:
+            yield pack(block, pa.concat_arrays(ids), texts, counter)
 
-    return map_arrow(distinct, run, "pretoken string, blocks long, pieces int")
+    kept = docs.select(id_col, text_col)
+    return map_arrow(kept, run, f"share int, block long, ids array<{kept.schema[0].dataType.simpleString()}>, sizes array<long>, tokens string, entries binary")
 
 
-#: Pre-tokens whose counts are broadcast, those longer than HOT_LENGTH never: 20 MB at most.
-HOT, HOT_LENGTH = 200_000, 32
-
-
-def count_tokens(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every whole text; over_limit: more than ``limit`` tokens."""
-    spark = docs.sparkSession
-    counts = materialize(piece_counts(pretokens(docs, path, text_col), path), "tokens-pretokens")
-    most = counts.filter(F.length("pretoken") <= HOT_LENGTH).orderBy(F.desc("blocks"), "pretoken").limit(hot).select("pretoken", "pieces").toArrow()
-    common = spark.sparkContext.broadcast(dict(zip(most.column("pretoken").to_pylist(), most.column("pieces").to_pylist(), strict=True)))
+    n = shares(docs, text_col)
+    kind = docs.schema[id_col].dataType
+    dealt = deal(docs, path, n, id_col, text_col).repartitionById(n, "share")
 
-    def run(batches):
-        counter, known = load(path), common.value
+    def count(batches):
+        """Counts each pre-token of a share when it first comes, and sums the pieces of each document's."""
+        counter, known = load(path), {}
         for batch in batches:
-            sums, sizes, ends, tail, times = [], [], [0], [], []
-            for t in batch.column(1).to_pylist():
-                freq = counter.frequencies(t or "")
-                rest = freq.keys() - known.keys()
-                tail += rest
-                times += [freq.pop(p) for p in rest]
-                sums.append(sum(known[p] * n for p, n in freq.items()))
-                sizes.append(len((t or "").encode()))
-                ends.append(len(tail))
-            rare = pa.StructArray.from_arrays([pa.array(tail, pa.string()), pa.array(times, pa.int32())], ["pretoken", "times"])
-            columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "version", "n_bytes", "common", "rare"])
-
-    kept = docs.select(F.col(id_col).alias("id"), text_col, version(text_col).alias("version"))
-    kind = kept.schema[0].dataType.simpleString()
-    rows = materialize(map_arrow(kept, run, f"id {kind}, version long, n_bytes long, common long, rare array<struct<pretoken string, times int>>"), "tokens-frequencies")
-    # rows of one id and text have the same tail: it is summed once
-    tails = rows.filter("size(rare) > 0").select("id", "version", F.explode("rare").alias("r")).select("id", "version", "r.pretoken", "r.times").distinct()
-    # a long pre-token that very many blocks hold is broadcast too
-    odd = F.length("pretoken").between(HOT_LENGTH + 1, 1024) & (F.col("blocks") > LEAST_ROWS)
-    frequent = [r["pretoken"] for r in counts.filter(odd).orderBy(F.desc("blocks"), "pretoken").limit(HOT_KEYS).select("pretoken").collect()]
-    summed = join_unique(tails, counts.select("pretoken", "pieces"), "pretoken", hot=frequent).groupBy("id", "version").agg(F.sum(F.col("pieces").cast("long") * F.col("times")).alias("tail"))
-    summed = materialize(summed.withColumnsRenamed({"id": "i", "version": "v"}), "tokens-tails")
-    out = rows.select("id", "version", "n_bytes", "common").join(summed, F.expr("id <=> i and version = v"), "left")
-    n = F.col("common") + F.coalesce("tail", F.lit(0))
-    discard(counts)
-    return out.select(F.col("id").alias(id_col), "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
+            names = [t.split(" ") if t is not None else [] for t in batch.column(4).to_pylist()]
+            new = list({p for own in names for p in own if p not in known})
+            known.update(zip(new, counter.pieces(new), strict=True))
+            sums = []
+            for own, packed in zip(names, batch.column(5).to_pylist(), strict=True):
+                if packed is None:
+                    sums.append(None)
+                    continue
+                doc, token, times = _unpacked(packed, 3)
+                pieces = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
+                at = np.flatnonzero(np.diff(doc, prepend=-1))
+                sums.append(_packed(doc[at], np.add.reduceat(pieces[token] * times, at)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(sums, pa.binary())], ["block", "ids", "sizes", "sums"])
+
+    counted = map_arrow(dealt, count, f"block long, ids array<{kind.simpleString()}>, sizes array<long>, sums binary")
+
+    def whole(table: pa.Table) -> pa.Table:
+        rows = table.column("sums").to_pylist()
+        head = table.slice(rows.index(None), 1)
+        ids, sizes = (pc.list_flatten(head.column(c)).combine_chunks() for c in ("ids", "sizes"))
+        tokens = np.zeros(len(sizes), np.int64)
+        for packed in rows:
+            if packed is not None:
+                doc, pieces = _unpacked(packed, 2)
+                tokens[doc] += pieces
+        return pa.table({id_col: ids, "n_bytes": sizes, "n_tokens": pa.array(tokens), "over_limit": pa.array(tokens > limit)})
+
+    return counted.groupBy("block").applyInArrow(whole, StructType([StructField(id_col, kind), *StructType.fromDDL("n_bytes long, n_tokens long, over_limit boolean").fields]))

@@ -1,6 +1,7 @@
 """Op 1 and op 10 against the tokenizer libraries."""
 
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
@@ -85,6 +86,17 @@ def test_documents(odd, none, libraries):
     assert bpe.round_trip(none, BYTE).count() == 0 == tokencount.count_tokens(none, PIECE).count()
 
 
+def test_counts_in_small_blocks_and_shares(spark, libraries, monkeypatch):
+    _, _, sp, _ = libraries
+    rng = random.Random(7)
+    parts = ["the", "of", "don't", "123", "ünï", "漢字", "😀", "<s>", "▁", "aaaa" * 30, "!?", "", "a\tb\nc", "\x00", "Word" * 200]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(200)] + [None, ""]
+    monkeypatch.setattr(tokencount, "BLOCK", 500)
+    rows = [(i if i % 9 else None, t) for i, t in enumerate(texts)]
+    got = sorted(map(tuple, tokencount.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), PIECE, 60).collect()), key=str)
+    assert got == sorted(((d, len((t or "").encode()), n := len(sp.encode(t or "")), n > 60) for d, t in rows), key=str)
+
+
 def digests(hf, text):
     ids = hf.encode(text, add_special_tokens=False).ids
     return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(hf.decode(ids, skip_special_tokens=False).encode()).hexdigest()
