@@ -32,9 +32,9 @@ def primal_weights(support: DataFrame, alphas: DataFrame) -> DataFrame:
 def linear_score(features: DataFrame, weights: DataFrame, bias: float = 0.0) -> DataFrame:
     """(sample, score, label): the dot product with the weights, plus the bias; label is its sign.
 
-    The weights are as many as a sample has features, and go to every executor.
+    The weights are as many as a sample has features: Spark sends them to every executor while they are small.
     """
-    out = features.join(F.broadcast(weights), "feature", "left").groupBy("sample").agg((F.sum(F.col("x") * F.coalesce("wt", F.lit(0.0))) + bias).alias("score"))
+    out = features.join(weights, "feature", "left").groupBy("sample").agg((F.sum(F.col("x") * F.coalesce("wt", F.lit(0.0))) + bias).alias("score"))
     return out.withColumn("label", F.when(F.col("score") > 0, F.lit(1)).otherwise(F.lit(-1)))
 
 
@@ -52,7 +52,7 @@ def cell_mean(cells: DataFrame) -> DataFrame:
     """(cluster, idx, mean, w): weighted mean over the samples that observe the cell, and mean weight over all samples."""
     size = cells.groupBy("cluster").agg(F.countDistinct("sample").alias("n"))
     sums = cells.groupBy("cluster", "idx").agg(F.sum(F.col("val") * F.col("w")).alias("vw"), F.sum("w").alias("ww")).filter("ww > 0")
-    return sums.join(F.broadcast(size), "cluster").select("cluster", "idx", (F.col("vw") / F.col("ww")).alias("mean"), (F.col("ww") / F.col("n")).alias("w"))
+    return sums.join(size, "cluster").select("cluster", "idx", (F.col("vw") / F.col("ww")).alias("mean"), (F.col("ww") / F.col("n")).alias("w"))
 
 
 def clean_cells(cells: DataFrame, least: int) -> DataFrame:
@@ -95,7 +95,7 @@ def maximization(data: DataFrame, coeffs: DataFrame) -> DataFrame:
     met = data.join(coeffs, ["cluster", "sample"])
     raw = met.groupBy("cluster", "idx").agg((F.sum(F.col("w") * F.col("val") * F.col("coeff")) / F.nullif(F.sum(F.col("w") * F.col("coeff") * F.col("coeff")), F.lit(0.0))).alias("b")).select("cluster", "idx", F.coalesce("b", F.lit(0.0)).alias("b"))
     size = raw.groupBy("cluster").agg(F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("size"))
-    return raw.join(F.broadcast(size), "cluster").select("cluster", "idx", F.when(F.col("size") > 0, F.col("b") / F.col("size")).otherwise(0.0).alias("base"))
+    return raw.join(size, "cluster").select("cluster", "idx", F.when(F.col("size") > 0, F.col("b") / F.col("size")).otherwise(0.0).alias("base"))
 
 
 def first_component(cells: DataFrame, rounds: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
