@@ -164,7 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, fit: Fit = Fit(),
         return Model(np.zeros(0, np.int64), np.zeros(0), -40.0, 0.0)
     toxic = bounded_sample(marked.filter("label = 1").select(id_col).distinct(), id_col, fit.max_positive)
     texts = docs.select(id_col, text_col)
-    positives = texts.join(F.broadcast(toxic), id_col).withColumn("positive", F.lit(True))
+    # ids may repeat: the rows that meet are bounded again
+    met = texts.join(F.broadcast(toxic), id_col).withColumn("__row", F.xxhash64(id_col, text_col))
+    positives = bounded_sample(met, "__row", fit.max_positive, seed=2).drop("__row").withColumn("positive", F.lit(True))
     unlabelled = bounded_sample(texts.filter(may_learn), id_col, fit.max_unlabelled, seed=1).withColumn("positive", F.lit(False))
     rows = materialize(_presence(positives.unionByName(unlabelled), id_col, text_col), "toxicity-terms")
     terms = F.array(*[F.lit(t) for t in telling(rows, prior, fit)]).cast("array<int>")
