@@ -186,6 +186,22 @@ def bounding_box(voxels: DataFrame, *by: str) -> DataFrame:
     return voxels.groupBy(*by).agg(*[f(c).alias(f"{n}_{c}") for c in KEY for n, f in (("min", F.min), ("max", F.max))])
 
 
+def oriented_box(voxels: DataFrame, angle: float, *by: str) -> DataFrame:
+    """(by.., cx, cy, bz, lx, ly, lz, theta): the least box of an angle around the voxels, of each group if ``by`` is given."""
+    u, t = g.rotated(F.col("vx").cast("double"), F.col("vy").cast("double"), F.lit(angle))
+    ends = voxels.groupBy(*by).agg(*[f(x).alias(f"{n}_{k}") for k, x in (("u", u), ("t", t), ("z", F.col("vz").cast("double"))) for n, f in (("min", F.min), ("max", F.max))])
+    mid = [(F.col(f"min_{k}") + F.col(f"max_{k}")) / 2 for k in "ut"]
+    x, y = g.turned(*mid, F.lit(angle))
+    return ends.select(*by, x.alias("cx"), y.alias("cy"), F.col("min_z").alias("bz"), *[(F.col(f"max_{k}") - F.col(f"min_{k}")).alias(c) for k, c in zip("utz", ("lx", "ly", "lz"), strict=True)], F.lit(angle).alias("theta"))
+
+
+def neighbour_limit(low: float, high: float, length: float) -> int:
+    """How many bricks around its own an observation can reach."""
+    import math
+
+    return math.ceil(max(abs(low), abs(high)) / length / 8)
+
+
 def brick_box(voxels: DataFrame) -> DataFrame:
     """The box of the touched bricks: first voxel of the first, and behind the last voxel of the last."""
     b = [g.brick(c) for c in KEY]

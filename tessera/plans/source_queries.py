@@ -16,7 +16,7 @@ from tessera.plans import inputs as i
 from tessera.plans.components import shared_folder
 from tessera.plans.learn_queries import _ERRORS
 from tessera.plans.registry import query
-from tessera.sources import grid, listing, ply, text
+from tessera.sources import grid, listing, ply, png, text
 
 
 def _place(spark, name: str) -> str:
@@ -191,3 +191,10 @@ def sampled_volumes_written(spark, sf):
 @query("quantized_grid_cells", f"WITH {i.VOX} SELECT vx, vy, vz, CAST(round((0.5 - d / 2.4) * 65535) AS INTEGER) AS value, CAST(round(least(w, 1.0) * 65535) AS INTEGER) AS weight FROM vox")
 def quantized_grid_cells(spark, sf):
     return mt.quantized(i.voxels(spark, sf), 1.2)
+
+
+@query("depth_images", f"WITH {i.PIXELS} SELECT frame, y, x, round(CAST(round(depth * (65535 / 30.0)) AS INTEGER) * (30.0 / 65535), 7) AS depth FROM pixels")
+def depth_images(spark, sf):
+    """Depth maps through 16-bit images."""
+    png.write_depths(i.pixels(spark, sf), path := _place(spark, "depths"), 64, 64)
+    return png.depths(spark, path).select(F.regexp_extract("path", r"(\d+)\.png", 1).cast("int").alias("frame"), "y", "x", r("depth", 7).alias("depth"))

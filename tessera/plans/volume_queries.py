@@ -306,3 +306,9 @@ def flagship(spark, sf):
     """Observations to fused voxels to brick summaries."""
     vox = i.voxels(spark, sf, True)
     return vox.groupBy(*[g.brick(f"v{c}").alias(f"b{c}") for c in "xyz"]).agg(F.count("*").alias("occupied"), r(F.avg("d")).alias("mean_d"), F.min("vx").alias("min_vx"), F.max("vx").alias("max_vx"), F.min("vz").alias("min_vz"), F.max("vz").alias("max_vz"))
+
+
+@query("oriented_boxes", f"""WITH {i.VOX}, t AS (SELECT label, vx * cos(0.4) + vy * sin(0.4) AS u, vy * cos(0.4) - vx * sin(0.4) AS t, vz FROM vox)
+    SELECT label, round((min(u) + max(u)) / 2 * cos(0.4) - (min(t) + max(t)) / 2 * sin(0.4), 6) + 0.0::DOUBLE AS cx, round(max(u) - min(u), 6) AS lx, round(max(t) - min(t), 6) AS ly, CAST(max(vz) - min(vz) AS DOUBLE) AS lz FROM t GROUP BY label""")
+def oriented_boxes(spark, sf):
+    return v.oriented_box(i.voxels(spark, sf), 0.4, "label").select("label", r("cx").alias("cx"), r("lx").alias("lx"), r("ly").alias("ly"), "lz")

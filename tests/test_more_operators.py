@@ -205,7 +205,52 @@ def test_a_view_checks_a_vertex(spark):
     vertices = spark.createDataFrame([(7, 5.0, 0.1, 0.1), (8, 50.0, 0.0, 0.0)], "vid long, x double, y double, z double")
     ask = lambda px, **k: [r["vid"] for r in c.check_vertices(vertices, boxes, px, cams, image, **k).collect()]
     # all views look past it
-    assert ask(pixels, base=0.01) == [7]
-    assert ask(pixels.withColumn("depth", F.lit(5.0)), base=0.01) == []
+    assert ask(pixels, base=10.0) == [7]
+    assert ask(pixels.withColumn("depth", F.lit(5.0)), base=10.0) == []
     assert ask(pixels.withColumns({"depth": F.lit(0.0), "sky": F.lit(1)})) == [7]
     assert ask(pixels.withColumns({"depth": F.lit(0.0), "sky": F.lit(1)}), check_sky=False) == []
+
+
+def test_images_with_every_filter():
+    """Scanlines filtered in each of the five ways decode to the same image."""
+    import zlib
+
+    from tessera.sources import png
+
+    rng = np.random.default_rng(1)
+    image = rng.integers(0, 256, (5, 6, 3)).astype(np.uint8)
+    flat, raw = image.reshape(5, 18).astype(int), b""
+    for y in range(5):
+        up = flat[y - 1] if y else np.zeros(18, int)
+        left, corner = np.concatenate([np.zeros(3, int), flat[y, :-3]]), np.concatenate([np.zeros(3, int), up[:-3]])
+        p = left + up - corner
+        paeth = [min((a, u, o), key=lambda v_, q=q: abs(q - v_)) for a, u, o, q in zip(left, up, corner, p, strict=True)]
+        guess = [np.zeros(18, int), left, up, (left + up) // 2, np.array(paeth)][y]
+        raw += bytes([y]) + ((flat[y] - guess) % 256).astype(np.uint8).tobytes()
+    part = lambda name, body: struct.pack(">I", len(body)) + name + body + b"\0\0\0\0"
+    content = png.SIGNATURE + part(b"IHDR", struct.pack(">IIBBBBB", 6, 5, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+    assert (png.decode(content) == image).all()
+    grey = rng.integers(0, 65536, (4, 3))
+    assert (png.decode(png.encode(grey))[:, :, 0] == grey).all()
+
+
+def test_commands(spark, tmp_path):
+    from tessera import cli
+
+    rows = [(i, x, y, z, d, 1.0, -1) for i, (x, y, z, d, _) in enumerate(ball((6.2, 6.1, 6.3), 4, 13)) if -1 <= d <= 1.2]
+    spark.createDataFrame(rows, "seq long, vx int, vy int, vz int, d double, w double, label int").write.parquet(f"{tmp_path}/obs")
+    cli.main(["fuse", f"{tmp_path}/obs", f"{tmp_path}/vol"], spark)
+    assert spark.read.parquet(f"{tmp_path}/vol").count() == len(rows)
+    cli.main(["mesh", f"{tmp_path}/vol", f"{tmp_path}/ply"], spark)
+    vertices, faces = ply.read(spark, f"{tmp_path}/ply")
+    plain, points = surface.indexed(surface.extract(spark.read.parquet(f"{tmp_path}/vol")))
+    assert vertices.count() == points.count() > 0 and faces.count() == plain.count()
+    assert m.boundary(faces).count() == m.boundary(plain).count()
+    cli.main(["merge", f"{tmp_path}/vol,{tmp_path}/vol", f"{tmp_path}/both"], spark)
+    assert spark.read.parquet(f"{tmp_path}/both").filter("w = 2").count() == len(rows)
+    from tessera.operators.detect import Detector
+
+    weights = spark.createDataFrame([(0, 1.5)], "feature int, wt double")
+    cli.save_detector(weights, Detector((1.0, 2.0, 3.0), (2, 2, 2), 0.5), f"{tmp_path}/det")
+    back, detector = cli.load_detector(spark, f"{tmp_path}/det")
+    assert detector == Detector((1.0, 2.0, 3.0), (2, 2, 2), 0.5) and back.collect() == weights.collect()
