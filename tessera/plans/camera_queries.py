@@ -151,19 +151,19 @@ def clean_volume_views(spark, sf):
 _RAMP = "(CASE WHEN d >= -0.04 THEN 1.0 WHEN d >= -0.6 THEN 0.05 + (d + 0.6) / 0.56 * 0.95 ELSE (d + 1.0) / 0.4 * 0.05 END)"
 
 
-@query("integrate_views", f"""WITH {_CLOUD}, b0 AS (SELECT DISTINCT frame, CAST(round(wx / 0.5) AS INTEGER) & -8 AS bx, CAST(round(wy / 0.5) AS INTEGER) & -8 AS by_, CAST(round(wz / 0.5) AS INTEGER) & -8 AS bz FROM cloud),
+@query("integrate_views", f"""WITH {_CLOUD}, b0 AS (SELECT DISTINCT frame, CAST(round((wx - 0.013) / 0.5) AS INTEGER) & -8 AS bx, CAST(round((wy - 0.027) / 0.5) AS INTEGER) & -8 AS by_, CAST(round((wz - 0.041) / 0.5) AS INTEGER) & -8 AS bz FROM cloud),
     bricks AS (SELECT DISTINCT frame, bx + 8 * i AS bx, by_ + 8 * j AS by_, bz + 8 * k AS bz FROM b0, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j), (SELECT unnest([-1, 0, 1]) AS k)),
     cells AS (SELECT frame, bx + i AS vx, by_ + j AS vy, bz + k AS vz FROM bricks, (SELECT CAST(unnest(range(8)) AS INTEGER) AS i), (SELECT CAST(unnest(range(8)) AS INTEGER) AS j), (SELECT CAST(unnest(range(8)) AS INTEGER) AS k)),
-    world AS (SELECT *, vx * 0.5::DOUBLE AS wx, vy * 0.5::DOUBLE AS wy, vz * 0.5::DOUBLE AS wz FROM cells), {_put('world', 'put')},
+    world AS (SELECT *, vx * 0.5::DOUBLE + 0.013 AS wx, vy * 0.5::DOUBLE + 0.027 AS wy, vz * 0.5::DOUBLE + 0.041 AS wz FROM cells), {_put('world', 'put')},
     obs0 AS (SELECT s.frame AS seq, vx, vy, vz, p.depth - length AS d, p.conf, p.label FROM put s JOIN views p ON p.frame = s.frame AND p.y = s.iy AND p.x = s.ix WHERE p.conf > 0 AND p.depth - length BETWEEN -1.0 AND 1.2),
     obs AS (SELECT seq, vx, vy, vz, d, {_RAMP} * conf AS w, label FROM obs0 WHERE {_RAMP} * conf > 0), {i.VOX_BODY} SELECT vx, vy, vz, round(d, 6) + 0.0::DOUBLE AS d, round(w, 6) AS w, label FROM vox""")
 def integrate_views(spark, sf):
-    return c.integrate(views(spark, sf), cameras(spark)).withColumns({"d": r("d"), "w": r("w")})
+    return c.integrate(views(spark, sf), cameras(spark), origin=(0.013, 0.027, 0.041)).withColumns({"d": r("d"), "w": r("w")})
 
 
-@query("remove_low_confidence", f"WITH {_BASE} SELECT frame, count(*) FILTER (conf > 0.5) AS kept, round(sum(CASE WHEN conf > 0.5 THEN depth ELSE 0 END), 4) AS total FROM views GROUP BY frame")
+@query("remove_low_confidence", f"WITH {_BASE} SELECT frame, count(*) FILTER (conf > 0.5) AS kept, round(sum(CASE WHEN conf > 0.5 THEN depth ELSE 0 END), 2) AS total FROM views GROUP BY frame")
 def remove_low_confidence(spark, sf):
-    return d.remove_low_confidence(views(spark, sf), 0.5).groupBy("frame").agg(F.count_if(F.col("depth") > 0).alias("kept"), r(F.sum("depth"), 4).alias("total"))
+    return d.remove_low_confidence(views(spark, sf), 0.5).groupBy("frame").agg(F.count_if(F.col("depth") > 0).alias("kept"), r(F.sum("depth"), 2).alias("total"))
 
 
 @query("clear_near", f"WITH {i.VOX}, {i.POINTS}, s AS (SELECT CAST(round(px) AS INTEGER) AS sx, CAST(round(py) AS INTEGER) AS sy, CAST(round(pz) AS INTEGER) AS sz FROM pts) SELECT vx, vy, vz FROM vox WHERE NOT EXISTS (SELECT 1 FROM s WHERE vx - sx BETWEEN -2 AND 1 AND vy - sy BETWEEN -2 AND 1 AND vz - sz BETWEEN -2 AND 1)")

@@ -213,12 +213,12 @@ def ray_hits(spark, sf):
     return t.ray_hits(rays, *_mesh(spark, sf)).select("pid", r("share", 7).alias("share"))
 
 
-def _grid(c: str) -> str:
-    return f"(SELECT CAST(unnest(range(CAST(ceil((SELECT min({c}) FROM verts) - 1.5) AS BIGINT), CAST(floor((SELECT max({c}) FROM verts) + 1.5) AS BIGINT) + 1)) AS INTEGER) AS v{c})"
+def _along(c: str) -> str:
+    return f"CAST(unnest(range(CAST(ceil(least({c}0, {c}1, {c}2) - 1.5) AS BIGINT), CAST(floor(greatest({c}0, {c}1, {c}2) + 1.5) AS BIGINT) + 1)) AS INTEGER) AS v{c}"
 
 
-_VOXELS = f"""{_GEO}, g AS (SELECT vx, vy, vz, vx * 1.0::DOUBLE AS px, vy * 1.0::DOUBLE AS py, vz * 1.0::DOUBLE AS pz FROM {_grid('x')}, {_grid('y')}, {_grid('z')}),
-    vd AS (SELECT vx, vy, vz, fid, {_TO_TRIANGLE} AS distance FROM g JOIN geo ON px BETWEEN least(x0, x1, x2) - 1.5 AND greatest(x0, x1, x2) + 1.5 AND py BETWEEN least(y0, y1, y2) - 1.5 AND greatest(y0, y1, y2) + 1.5)"""
+_VOXELS = f"""{_GEO}, gx AS (SELECT *, {_along('x')} FROM geo), gy AS (SELECT *, {_along('y')} FROM gx), gz AS (SELECT *, {_along('z')} FROM gy), g AS (SELECT *, vx * 1.0::DOUBLE AS px, vy * 1.0::DOUBLE AS py, vz * 1.0::DOUBLE AS pz FROM gz),
+    vd AS (SELECT vx, vy, vz, fid, {_TO_TRIANGLE} AS distance FROM g)"""
 
 
 @query("voxelize_mesh", f"WITH {_VOXELS} SELECT vx, vy, vz, round(min(distance), 6) AS distance FROM vd WHERE distance <= 1.5 GROUP BY vx, vy, vz")
