@@ -7,6 +7,8 @@ saturated prefix acts through its (d, w) only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,32 +29,68 @@ def fold_batch(state: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 class VolumeSink:
-    """foreachBatch sink: keeps the volume as Parquet, a new version for each batch.
+    """foreachBatch sink: keeps the volume as Parquet, a version for each batch.
 
-    A batch that is delivered again finds its version written and is not
-    folded twice.
+    A version holds the voxels that its batch touches, and the volume is the
+    latest row of each voxel.  After ``merge_every`` versions the whole volume
+    is written; what it replaces is deleted with the next one, so that readers
+    of the one before can finish.  A batch that is delivered again finds its
+    version written and is not folded twice.
     """
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, merge_every: int = 16):
         self.folder = folder.rstrip("/")
+        self.merge_every = merge_every
 
-    def _path(self, version: int) -> str:
-        return f"{self.folder}/v{version:012d}"
+    def _path(self, kind: str, version: int) -> str:
+        return f"{self.folder}/{kind}{version:012d}"
 
-    def versions(self, spark: SparkSession) -> list[int]:
+    def _written(self, spark: SparkSession, kind: str) -> list[int]:
+        """The complete versions: of kind "v" a batch's voxels, of kind "w" the whole volume."""
         path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         if not fs.exists(path):
             return []
         done = [s.getPath() for s in fs.listStatus(path)]
-        return sorted(int(p.getName()[1:]) for p in done if p.getName().startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        return sorted(int(p.getName()[1:]) for p in done if p.getName().startswith(kind) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def versions(self, spark: SparkSession) -> list[int]:
+        """The batches that are folded and not deleted yet."""
+        return sorted({*self._written(spark, "v"), *self._written(spark, "w")})
+
+    def _current(self, spark: SparkSession) -> list[tuple[str, int]]:
+        """The last whole volume, if there is one, and the versions after it."""
+        whole = self._written(spark, "w")[-1:]
+        return [*(("w", n) for n in whole), *(("v", n) for n in self._written(spark, "v") if not whole or n > whole[0])]
 
     def state(self, spark: SparkSession) -> DataFrame:
-        found = self.versions(spark)
-        return spark.read.schema(STATE).parquet(self._path(found[-1])) if found else empty_state(spark)
+        tables = [spark.read.schema(STATE).parquet(self._path(*c)) for c in self._current(spark)]
+        if not tables:
+            return empty_state(spark)
+        if len(tables) == 1:
+            return tables[0]
+        numbered = [t.withColumn("version", F.lit(n)) for n, t in enumerate(tables)]
+        return reduce(DataFrame.unionByName, numbered).groupBy(*KEY).agg(F.max_by(F.struct("d", "w"), "version").alias("s")).select(*KEY, "s.d", "s.w")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch_id in self.versions(spark):
+        if batch_id <= max(self.versions(spark), default=-1):
+            return
+        batch = batch.persist()
+        try:
+            touched = self.state(spark).join(batch.select(*KEY).distinct(), KEY, "left_semi")
+            fold_batch(touched, batch).write.mode("overwrite").parquet(self._path("v", batch_id))
+        finally:
+            batch.unpersist()
+        if sum(kind == "v" for kind, _ in self._current(spark)) >= self.merge_every:
+            self._merge(spark, batch_id)
+
+    def _merge(self, spark: SparkSession, batch_id: int) -> None:
+        before = self._written(spark, "w")
+        self.state(spark).write.mode("overwrite").parquet(self._path("w", batch_id))
+        if not before:
             return
-        fold_batch(self.state(spark), batch).write.mode("overwrite").parquet(self._path(batch_id))
+        old = [*(("w", n) for n in before[:-1]), *(("v", n) for n in self._written(spark, "v") if n <= before[-1])]
+        for kind, n in old:
+            path = spark._jvm.org.apache.hadoop.fs.Path(self._path(kind, n))
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

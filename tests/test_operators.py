@@ -171,6 +171,26 @@ def test_streamed_fusion(spark, tmp_path):
     assert fold_batch(empty_state(spark), obs).first()["d"] == pytest.approx(whole["d"])
 
 
+def test_streamed_versions_hold_touched_voxels_and_are_merged(spark, tmp_path):
+    rows = [(i, i * 7 % 5, 0, 0, math.sin(i), 0.3 + i % 3) for i in range(60)]
+    obs = spark.createDataFrame(rows, OBS)
+    folder = tmp_path / "volume"
+    sink = VolumeSink(str(folder), merge_every=2)
+    for n in range(7):
+        part = obs.filter(F.col("seq").between(n * 9, n * 9 + 8)).filter(F.lit(n != 3) | (F.col("vx") == 1))
+        sink(part, n)
+        sink(part, n)
+        if n == 3:
+            sole = spark.read.parquet(str(folder / "v000000000003"))
+            assert [r["vx"] for r in sole.select("vx").collect()] == [1]
+    kept = obs.filter("seq not between 27 and 35 or vx = 1")
+    whole = {r["vx"]: (r["d"], r["w"]) for r in v.fuse(kept).collect()}
+    got = {r["vx"]: (r["d"], r["w"]) for r in sink.state(spark).collect()}
+    assert got.keys() == whole.keys() and all(got[k] == pytest.approx(whole[k]) for k in whole)
+    # whole volumes at 1, 3 and 5: what the one at 3 replaced is gone
+    assert sorted(p.name[0] + str(int(p.name[1:])) for p in folder.iterdir() if p.is_dir()) == ["v4", "v5", "v6", "w3", "w5"]
+
+
 def test_text_sources(spark, tmp_path):
     (tmp_path / "m.txt").write_text("2 3\n1 0 2\n0 0 5\n")
     got = sorted(map(tuple, sources.matrix(spark, str(tmp_path / "m.txt")).collect()))
