@@ -201,8 +201,8 @@ def recovered(old: DataFrame, new: DataFrame, params: Params = Params(), id_col:
     return map_arrow(both, run, f"`{id_col}` {both.schema[0].dataType.simpleString()}, removed array<long>, added array<long>")
 
 
-#: Bytes of text that one range of ids holds, about.
-RANGE_BYTES = 32 << 20
+#: Bytes of text that one range of ids holds, about, and how many ranges there are at most: their first keys meet at the driver, so beyond 400 GB ranges grow instead.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 50_000
 
 
 @dataclass(frozen=True)
@@ -223,9 +223,10 @@ class Ranges:
 def ranges(keys: DataFrame, bytes_: Column, least: int) -> Ranges:
     """Ranges of about RANGE_BYTES for (id) rows, ``least`` of them at least."""
     size = keys.agg(F.count("*").alias("rows"), F.sum(bytes_).alias("bytes"), F.count_if(F.col("id").isNull()).alias("none")).first()
-    n = max(least, -(-(size["bytes"] or 0) // RANGE_BYTES))
+    n = max(least, min(MOST_RANGES, -(-(size["bytes"] or 0) // RANGE_BYTES)))
     each = max(1, size["rows"] // n)
-    cuts = keys.select(F.percentile_approx("id", [i / n for i in range(1, n)], 10_000)).first()[0] or [] if n > 1 else []
+    # a quantile is off by a quarter of a range at most
+    cuts = keys.select(F.percentile_approx("id", [i / n for i in range(1, n)], max(10_000, 4 * n))).first()[0] or [] if n > 1 else []
     # fewer than n / 2 ids
     many = {r["id"]: -(-r["rows"] // each) for r in keys.filter("id is not null").groupBy("id").agg(F.count("*").alias("rows")).filter(F.col("rows") > 2 * each).collect()}
     above = sorted({*cuts, *many, *(i - 1 for i in many)})
