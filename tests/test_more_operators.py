@@ -254,3 +254,9 @@ def test_commands(spark, tmp_path):
     cli.save_detector(weights, Detector((1.0, 2.0, 3.0), (2, 2, 2), 0.5), f"{tmp_path}/det")
     back, detector = cli.load_detector(spark, f"{tmp_path}/det")
     assert detector == Detector((1.0, 2.0, 3.0), (2, 2, 2), 0.5) and back.collect() == weights.collect()
+
+
+def test_components_at_once_and_by_rounds(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, i) for i in range(200, 260)] + [(5, 300), (7, 7), (400, 400)], "a long, b long").repartition(4)
+    once, rounds = ({r["node"]: r["component"] for r in connected_components(edges, at_once=n).collect()} for n in (1000, 0))
+    assert once == rounds and set(once.values()) == {0, 100, 400}
