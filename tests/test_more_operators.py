@@ -288,3 +288,19 @@ def test_alignment_of_a_long_strip_that_moves_further_than_reach(spark):
     _, back = t.align(t.moved(strip, [co, -si, 0, 0.05, si, co, 0, -0.08, 0, 0, 1, 0.04]), strip, 1.0)
     off = back.join(strip.selectExpr("pid", "x as qx", "y as qy", "z as qz"), "pid").selectExpr("max(greatest(abs(x - qx), abs(y - qy), abs(z - qz)))").first()[0]
     assert off < 1e-6
+
+
+def test_gram_of_several_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(n, x, 0, z, rng.gauss(0, 1), rng.choice([0.5, 1.0, 4.0])) for n in range(9) for x in range(4) for z in range(3) if rng.random() < 0.3]
+    monkeypatch.setattr(v, "BLOCK_SAMPLES", 4)
+    monkeypatch.setattr(v, "CELLS_AT_ONCE", 5)
+    got = {(r["a"], r["b"]): r["product"] for r in v.gram(spark.createDataFrame(rows, "sample long, vx int, vy int, vz int, centred double, w double")).collect()}
+    want = {}
+    for n, *p, x, w in rows:
+        for o, *q, y, u in rows:
+            if p == q and n <= o:
+                s = want.setdefault((n, o), [0.0, 0.0])
+                s[0] += x * y * math.sqrt(w * u)
+                s[1] += math.sqrt(w * u)
+    assert got == {k: pytest.approx(a / c) for k, (a, c) in want.items()}
