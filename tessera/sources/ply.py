@@ -84,8 +84,84 @@ def _colour(columns: dict[str, list], names: tuple[str, ...], rows: int) -> list
     return next((columns[n] for n in names if n in columns), [None] * rows)
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, block, at, value): a file's lines; within a block (where a piece of the file begins) ``at`` counts without gaps."""
+    place = F.regexp_replace(F.col("_metadata.file_path"), "^file:///", "file:/")
+    return spark.read.text(path).select(place.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+
+
+def _layout(lines: DataFrame) -> tuple[list[tuple], list[tuple]] | None:
+    """(blocks, files) of text files with a line for each row of plain vertices and triangles; None where any file is other.
+
+    A block is (path, block, its first ``at``, lines of the file before it), a
+    file (path, where vertices begin and end, where faces do, places of x, y,
+    z, r, g, b in a vertex' line, 0 where missing).
+    """
+    head = lines.filter(F.col("value").rlike("^(ply|format|element|property|end_header)\\b")).orderBy("path", "block", "at")
+    heads: dict[str, list[str]] = {}
+    for p, value in head.select("path", "value").collect():
+        if "end_header" not in heads.setdefault(p, []):
+            heads[p].append(value.strip())
+    end = F.min(F.when(F.trim("value") == "end_header", F.col("at")))
+    counts = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("at").alias("low"), end.alias("end"), F.sum((F.trim("value") == "").cast("int")).alias("blank")).orderBy("path", "block").collect()
+    blocks, files, length, first = [], [], {}, {}
+    for c in counts:
+        blocks.append((c["path"], c["block"], c["low"], length.get(c["path"], 0)))
+        if c["end"] is not None:
+            first.setdefault(c["path"], length.get(c["path"], 0) + c["end"] - c["low"] + 1)
+        length[c["path"]] = length.get(c["path"], 0) + c["n"]
+        if c["blank"]:
+            return None
+    for p, n in length.items():
+        if p not in first:
+            return None
+        encoding, elements, _ = header(("\n".join(heads[p]) + "\n").encode())
+        if encoding != "ascii" or n - first[p] != sum(rows for _, rows, _ in elements):
+            return None
+        at, span, places = first[p], {"vertex": (0, 0), "face": (0, 0)}, [0] * 6
+        for name, rows, properties in elements:
+            span[name] = (at, at + rows)
+            at += rows
+            names = [q[0] for q in properties]
+            if name == "vertex":
+                if any(len(q) == 3 for q in properties) or not {"x", "y", "z"} <= set(names):
+                    return None
+                wanted = [("x",), ("y",), ("z",), ("red", "diffuse_red"), ("green", "diffuse_green"), ("blue", "diffuse_blue")]
+                places = [next((names.index(k) + 1 for k in w if k in names), 0) for w in wanted]
+            elif name == "face" and (len(properties[0]) != 3 or names[0] not in ("vertex_indices", "vertex_index")):
+                return None
+        files.append((p, *span["vertex"], *span["face"], *places))
+    return blocks, files
+
+
+def _read_lines(spark: SparkSession, lines: DataFrame, blocks: list[tuple], files: list[tuple]) -> tuple[DataFrame, DataFrame] | None:
+    """As ``read``, any number of tasks for a file; None where a face isn't a triangle."""
+    places = [f"p{c}" for c in ("x", "y", "z", "r", "g", "b")]
+    known = spark.createDataFrame(blocks, "path string, block long, low long, before long").join(spark.createDataFrame(files, "path string, v0 long, v1 long, f0 long, f1 long, " + ", ".join(f"{c} int" for c in places)), "path")
+    row = lines.join(F.broadcast(known), ["path", "block"]).withColumn("k", F.col("at") - F.col("low") + F.col("before"))
+    row = row.withColumn("t", F.split(F.trim(F.regexp_replace("value", "\\s+", " ")), " "))
+    face = row.filter("k >= f0 and k < f1")
+    if face.filter("t[0] <> '3'").limit(1).count():
+        return None
+    at = lambda c: F.when(F.col(c) > 0, F.try_element_at("t", F.col(c)).cast("double"))
+    vertices = row.filter("k >= v0 and k < v1").select("path", (F.col("k") - F.col("v0")).alias("vid"), *[at(f"p{c}").alias(c) for c in "xyz"], *[at(f"p{c}").cast("int").alias(c) for c in "rgb"])
+    return vertices, face.select("path", (F.col("k") - F.col("f0")).alias("fid"), *[F.col("t")[j + 1].cast("long").alias(f"v{j}") for j in range(3)])
+
+
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """((path, vid, x, y, z, r, g, b), (path, fid, v0, v1, v2)) of PLY files; polygons become fans; a file is read by one task."""
+    """((path, vid, x, y, z, r, g, b), (path, fid, v0, v1, v2)) of PLY files; polygons become fans.
+
+    Text files with a line for each vertex and triangle are read line by line,
+    by any number of tasks; a binary or freely laid out file by one task.
+    """
+    lines = _lines(spark, path)
+    layout = _layout(lines)
+    found = _read_lines(spark, lines, *layout) if layout and layout[1] else None
+    return found or _read_whole(spark, path)
+
+
+def _read_whole(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """As ``read``, a file by one task."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def vertices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -304,3 +304,18 @@ def test_gram_of_several_blocks(spark, monkeypatch):
                 s[0] += x * y * math.sqrt(w * u)
                 s[1] += math.sqrt(w * u)
     assert got == {k: pytest.approx(a / c) for k, (a, c) in want.items()}
+
+
+def test_ply_text_is_read_by_several_tasks(spark, tmp_path):
+    points = spark.range(3000).selectExpr("id as vid", "id * 0.5D as x", "double(id % 7) as y", "-1.25D as z", "int(id % 256) as r", "7 as g", "9 as b")
+    faces = spark.range(1, 2000).selectExpr("id - 1 as fid", "id as v0", "id + 1 as v1", "id - 1 as v2")
+    ply.write(points, faces, f"{tmp_path}/ply")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        v_, f_ = ply.read(spark, f"{tmp_path}/ply")
+        assert v_.rdd.getNumPartitions() > 3 and f_.rdd.getNumPartitions() > 3
+        assert sorted(tuple(r) for r in v_.drop("path").collect()) == [tuple(r) for r in points.orderBy("vid").collect()]
+        assert sorted(tuple(r) for r in f_.drop("path").collect()) == [tuple(r) for r in faces.orderBy("fid").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
