@@ -8,11 +8,13 @@ quantile of the labelled scores: the share of labelled documents that are bad.
 The logistic curve that carries raw scores to (0, 1) puts that cut at ``CUT``.
 
 Features are computed for all documents of a batch in NumPy passes.  The fit
-uses a bounded sample of labelled rows (``Fit.max_labelled``); every document
-is scored, over its whole text, however long.  Null and empty texts have
-features (zeros) and so a score; without labels of both kinds in the sample
-every score is the share of good labels (1 if there are none).  Repeated rows
-get repeated scores, an empty table none.  Extra columns are not read.
+takes every labelled row and every pair of them (``tessera.llm.ranking``), and
+the features' means and spreads and the cut are those of all labelled rows; a
+document counts as often as it is labelled.  Every document is scored, over
+its whole text, however long.  Null and empty texts have features (zeros) and
+so a score; without labels of both kinds every score is the share of good
+labels (1 if there are none).  Repeated rows get repeated scores, an empty
+table none.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import ranking
 from tessera.llm import text as tx
-from tessera.llm.runtime import bounded_sample, map_arrow
+from tessera.llm.runtime import discard, map_arrow, materialize
+from tessera.plans.skew import join_unique
 
 #: Where the quantile cut lies in (0, 1).
 CUT = 0.3
@@ -45,6 +49,8 @@ BUCKETS = 32
 FEATURES = [*STATISTICS, *(f"words_{i}" for i in range(BUCKETS))]
 #: Documents that one pass works on: each takes a row of 256 byte counts.
 ROWS = 1024
+#: Labelled rows up to this number are learned from in the driver (8 MB), the same way.
+DRIVER_ROWS = 20_000
 
 
 def _distinct(owner: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
@@ -119,13 +125,10 @@ def features(column: pa.Array) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Fit:
-    max_labelled: int = 20_000  #: labelled rows that the fit sees at most, about
-    pairs: int = 200_000
-    rounds: int = 300
-    rate: float = 0.05
     shrink: float = 1e-4
     shrink_words: float = 1e-2  #: the same for words by hash
-    seed: int = 7
+    steps: int = 50  #: Newton steps at most; about ten are taken
+    close: float = 1e-7  #: a step that promises less of the loss is the last
 
 
 @dataclass(frozen=True)
@@ -154,30 +157,28 @@ def expand(z: np.ndarray) -> np.ndarray:
     return np.hstack([z, s * s / 4, np.tanh(2 * s)])
 
 
-def fit_pairs(x: np.ndarray, good: np.ndarray, fit: Fit) -> Ranker:
-    """Learn from the rows' preference pairs."""
-    share = float(good.mean()) if len(good) else 1.0
-    if not good.any() or good.all():
+def fit_rows(rows: list[ranking.Block] | DataFrame, fit: Fit) -> Ranker:
+    """Learn from all preference pairs of the rows (blocks of features, times marked good and bad)."""
+    good, bad, mean, variance = ranking.moments(rows) or (0.0, 0.0, np.zeros(1), np.ones(1))
+    share = float(good / (good + bad)) if good + bad else 1.0
+    if not good or not bad:
         return Ranker(np.zeros(1), np.ones(1), np.zeros(0), 0.0, 1.0, share)
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-    z = expand((x - mean) / scale)
-    rng = np.random.default_rng(fit.seed)
-    better, worse = np.flatnonzero(good), np.flatnonzero(~good)
-    w, m, v = np.zeros(z.shape[1]), 0.0, 0.0
-    shrink = np.full(z.shape[1], fit.shrink)
+    scale = np.maximum(np.sqrt(variance), 1e-6)
+    z = lambda x: expand((x - mean) / scale)
+    shrink = np.full(len(FEATURES) + 2 * len(STATISTICS), fit.shrink)
     shrink[len(STATISTICS) : len(FEATURES)] = fit.shrink_words
-    size = max(256, fit.pairs // fit.rounds)
-    for step in range(1, fit.rounds + 1):
-        d = z[rng.choice(better, size)] - z[rng.choice(worse, size)]
-        g = -d.T @ (1 / (1 + np.exp(np.clip(d @ w, -40, 40)))) / size + shrink * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= fit.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    raw = z @ w
+    w = ranking.learn(rows, z, shrink, fit.steps, fit.close)
+    raw = lambda x: z(x) @ w
+    spread = np.sqrt(ranking.moments(rows, raw)[3])
     # between the two neighbours of the quantile, so that a tie doesn't decide
-    order = np.sort(raw)
-    at = min(len(order) - 1, max(1, int((~good).sum())))
-    cut = (order[at - 1] + order[at]) / 2
-    return Ranker(mean, scale, w, float(cut), float(max(raw.std() / 4, 1e-6)), share)
+    at = int(min(good + bad - 1, max(1, bad)))
+    cut = sum(ranking.order_statistics(rows, raw, [at - 1, at])) / 2
+    return Ranker(mean, scale, w, float(cut), float(max(spread / 4, 1e-6)), share)
+
+
+def fit_pairs(x: np.ndarray, good: np.ndarray, fit: Fit) -> Ranker:
+    """Learn from the rows' preference pairs."""
+    return fit_rows([(x, good.astype(float), (~good).astype(float))] if len(x) else [], fit)
 
 
 def text_features(docs: DataFrame, id_col: str, text_col: str, *others: str) -> DataFrame:
@@ -195,32 +196,50 @@ def text_features(docs: DataFrame, id_col: str, text_col: str, *others: str) ->
     return map_arrow(kept, run, ", ".join([f"`{id_col}` {kept.schema[0].dataType.simpleString()}", "features array<double>", *kinds]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, fit: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranker:
-    """Learn from ``labels`` (id, label 0 or 1), of the rows where ``may_learn`` holds; null labels are no labels."""
+def fit_features(known: DataFrame, labels: DataFrame, may_learn: Column, fit: Fit = Fit(), id_col: str = "doc_id", label_col: str = "quality") -> Ranker:
+    """Learn from ``labels`` (id, label 0 or 1), of the rows where ``may_learn`` holds; null labels are no labels.  ``known``: a written table of (id, features)."""
     marked = labels.select(id_col, F.col(label_col).cast("int").alias("label")).filter(may_learn & F.col("label").isNotNull())
-    sample = bounded_sample(marked, id_col, fit.max_labelled)
-    # ids may repeat: the rows that meet are bounded again
-    met = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).withColumn("__row", F.xxhash64(id_col, text_col))
-    chosen = bounded_sample(met, "__row", fit.max_labelled, seed=1)
-    rows = text_features(chosen, id_col, text_col, "label").orderBy(F.xxhash64(id_col), id_col, "label", F.hash("features")).collect()
-    x = np.array([r["features"] for r in rows]).reshape(len(rows), len(FEATURES))
-    return fit_pairs(x, np.array([r["label"] == 1 for r in rows], bool), fit)
+    good = F.col("label") == 1
+    votes = marked.groupBy(id_col).agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad"))
+    rows = materialize(ranking.pack(join_unique(known, votes, id_col).select("features", "good", "bad")), "quality-labelled")
+    if (rows.agg(F.sum("n")).first()[0] or 0) > DRIVER_ROWS:
+        ranker = fit_rows(rows, fit)
+    else:
+        ranker = fit_rows([ranking.block(**r.asDict()) for r in rows.collect()], fit)
+    discard(rows)
+    return ranker
 
 
-def score(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str = "text", *others: str) -> DataFrame:
-    """(id, score, predicted, the other columns): score in (0, 1), predicted 1 from CUT on."""
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, fit: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranker:
+    """``fit_features`` of the documents' texts."""
+    known = materialize(text_features(docs, id_col, text_col), "quality-features")
+    ranker = fit_features(known, labels, may_learn, fit, id_col, label_col)
+    discard(known)
+    return ranker
+
 
+def _scored(kept: DataFrame, ranker: Ranker, matrix) -> DataFrame:
     def run(batches):
         for batch in batches:
-            s = ranker.score(features(batch.column(1)))
+            s = ranker.score(matrix(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= CUT).astype(np.int32)), *batch.columns[2:]], names)
 
-    kept = docs.select(id_col, text_col, *others)
+    id_col, _, *others = kept.columns
     names = [id_col, "score", "predicted", *others]
     kinds = [f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in others]
     return map_arrow(kept, run, ", ".join([f"`{id_col}` {kept.schema[0].dataType.simpleString()}", "score double", "predicted int", *kinds]))
 
 
+def score(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str = "text", *others: str) -> DataFrame:
+    """(id, score, predicted, the other columns): score in (0, 1), predicted 1 from CUT on."""
+    return _scored(docs.select(id_col, text_col, *others), ranker, features)
+
+
+def score_features(known: DataFrame, ranker: Ranker, id_col: str = "doc_id") -> DataFrame:
+    """``score`` from a table of (id, features)."""
+    return _scored(known.select(id_col, "features"), ranker, ranking.stacked)
+
+
 def keep_good(docs: DataFrame, ranker: Ranker, text_col: str = "text") -> DataFrame:
     """The documents (all columns) with a score of CUT or more."""
     at = docs.columns.index(text_col)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, chat, decontam, langid, linededup, minmax, quality, sketch, tokencount, toxicity
-from tessera.llm.runtime import fold
+from tessera.llm.runtime import fold, materialize
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +26,9 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    ranker = quality.fit(docs, read(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
-    scored = quality.score(docs, ranker)
+    known = materialize(quality.text_features(read(spark, sf_dir, "documents"), "doc_id", "text"), "quality-features")
+    ranker = quality.fit_features(known, read(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    scored = quality.score_features(known, ranker)
     return scored.select("doc_id", (F.coalesce(fold("doc_id", 5), F.lit(0)) == 0).alias("held_out"), "score", "predicted")
 
 

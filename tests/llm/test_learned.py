@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, quality, toxicity
+from tessera.llm import langid, quality, ranking, toxicity
 from tessera.llm import queries as q
 from tessera.llm.runtime import fold
 
@@ -144,6 +144,47 @@ def test_pairs_rank_better_above_worse():
     assert abs((s < quality.CUT).mean() - 0.25) < 0.01  # the quantile cut
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    rng = random.Random(5)
+    words = [f"{'Abc'[i % 3]}w{i}" for i in range(50)]
+    n = 24_000
+    rows = []
+    for d in range(n):
+        good = rng.random() < 0.8
+        rows.append((d, " ".join(rng.choice(words[: 40 if good else 50]) for _ in range(rng.randint(3, 12))), int(good)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(4)
+    got = quality.fit(table.select("doc_id", "text"), table.select("doc_id", "quality"), F.lit(True))
+    x = quality.features(pa.array([t for _, t, _ in rows], pa.string()))
+    good = np.array([g == 1 for *_, g in rows])
+    assert got.share_good == good.mean()
+    assert np.allclose(got.mean, x.mean(0), rtol=1e-9) and np.allclose(got.scale, np.maximum(x.std(0), 1e-6), rtol=1e-7)
+    # the same as in the driver, and the cut is the quantile of all rows
+    want = quality.fit_pairs(x, good, quality.Fit())
+    assert np.allclose(got.weights, want.weights, atol=1e-3)
+    assert got.cut == pytest.approx(want.cut, abs=1e-3)
+    assert (got.raw(x) < got.cut).sum() == (~good).sum()
+
+
+def test_ranking_is_the_optimum_over_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 4))
+    marked = rng.random(200) < 1 / (1 + np.exp(-2 * x[:, 0] - x[:, 1]))
+    # rows may be marked several times, also as both
+    good, bad = marked + (rng.random(200) < 0.1) * 2.0, (~marked) * 1.0
+    shrink = np.full(4, 1e-3)
+    packed = ranking.pack(spark.createDataFrame([(r.tolist(), int(g), int(b)) for r, g, b in zip(x, good, bad, strict=True)], "features array<double>, good long, bad long").repartition(3))
+    packed.persist()
+    for rows in ([(x[:70], good[:70], bad[:70]), (x[70:], good[70:], bad[70:])], packed):
+        w = ranking.learn(rows, lambda v: v, shrink, 50, 1e-7)
+        s = x @ w
+        p = good[:, None] * bad / (1 + np.exp(s[:, None] - s)) / good.sum() / bad.sum()
+        assert np.abs(p.sum(0) @ x - p.sum(1) @ x + shrink * w).max() < 1e-5
+        assert ranking.loss(ranking._by_score(rows, lambda v: v, w)) == pytest.approx((good[:, None] * bad * np.logaddexp(0, s - s[:, None])).sum() / good.sum() / bad.sum(), abs=1e-5)
+        ranks = [0, 56, 57, 150, int((good + bad).sum()) - 1]
+        assert ranking.order_statistics(rows, lambda v: v[:, 0], ranks) == np.sort(np.repeat(x[:, 0], (good + bad).astype(int)))[ranks].tolist()
+    packed.unpersist()
+
+
 def test_non_negative_risk_learns_from_positives_and_the_rest():
     rng = np.random.default_rng(1)
     noise = lambda: rng.choice(np.arange(100, 3000), 40, replace=False)
