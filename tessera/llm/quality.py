@@ -127,7 +127,7 @@ def features(column: pa.Array) -> np.ndarray:
 class Fit:
     shrink: float = 1e-4
     shrink_words: float = 1e-2  #: the same for words by hash
-    steps: int = 50  #: Newton steps at most; about ten are taken
+    steps: int = 50  #: Newton steps at most; ``close`` ends them long before
     close: float = 1e-7  #: a step that promises less of the loss is the last
 
 
