@@ -306,6 +306,23 @@ def test_gram_of_several_blocks(spark, monkeypatch):
     assert got == {k: pytest.approx(a / c) for k, (a, c) in want.items()}
 
 
+def test_gram_deals_packed_rows(spark, monkeypatch):
+    """1,500 samples are one block: what is dealt is a few bytes for each observed cell; strips of the block are multiplied one by one."""
+    monkeypatch.setattr(v, "STRIP", 70, raising=False)
+    cells = spark.range(1500 * 40).selectExpr("id div 40 as sample", "int(id % 8) as vx", "int(id % 40 div 8) as vy", "0 as vz", "(id * 7919 % 1000) / 1000.0D - 0.5D as centred", "1.0D + id % 3 as w")
+    there = [r[0] for r in cells.select("centred").collect()]
+    executors = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(executors.executorList(False).apply(k).totalShuffleWrite() for k in range(executors.executorList(False).size()))
+    before = written()
+    got = v.gram(cells).collect()
+    assert written() - before < 1500 * 40 * 25, written() - before
+    assert len({(r["a"], r["b"]) for r in got}) == len(got) == 1500 * 1501 // 2 and all(r["a"] <= r["b"] for r in got)
+    for r in got[:: len(got) // 50]:
+        x, y = (there[40 * r[s] : 40 * r[s] + 40] for s in "ab")
+        root = [math.sqrt((1 + (40 * r["a"] + k) % 3) * (1 + (40 * r["b"] + k) % 3)) for k in range(40)]
+        assert r["product"] == pytest.approx(sum(p * q * u for p, q, u in zip(x, y, root, strict=True)) / sum(root))
+
+
 def test_ply_text_is_read_by_several_tasks(spark, tmp_path):
     points = spark.range(3000).selectExpr("id as vid", "id * 0.5D as x", "double(id % 7) as y", "-1.25D as z", "int(id % 256) as r", "7 as g", "9 as b")
     faces = spark.range(1, 2000).selectExpr("id - 1 as fid", "id as v0", "id + 1 as v1", "id - 1 as v2")
